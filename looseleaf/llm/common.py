@@ -118,3 +118,19 @@ def of_kinds(spans: Column, kinds: list[str]) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def filter_texts(df: DataFrame, text_col: str, start: Callable[[], Callable[[list[bytes | None]], list[bool]]]) -> DataFrame:
+    """The rows of `df` for which the function made by `start()` says True of the whole text, all columns as they are."""
+    names = df.columns
+    at = names.index(text_col)
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = start()
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary())
+            for a, b in slices(texts):
+                yield batch.slice(a, b - a).filter(pa.array(keep(texts.slice(a, b - a).to_pylist()), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

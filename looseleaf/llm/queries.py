@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, pii, quality_rules, secret_scan, simhash_dedup
+from . import decontaminate, language_id, license_scan, pii, quality_rules, secret_scan, simhash_dedup, substring_dedup, toxicity
 from .common import documents, of_kinds, span_text
 from .sentencepiece_codec import sentencepiece_codec
 
@@ -97,12 +97,29 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(sentencepiece_codec(documents(spark, sf_dir), piece_model()), "doc_id")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(documents(spark, sf_dir))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(documents(spark, sf_dir)).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.benchmark_hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return hits.select("doc_id", F.col("item").alias("item_id"), F.col("start").alias("first_word"), F.col("end").alias("end_word"), F.round("similarity", 6).alias("similarity"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.duplicate_passages(documents(spark, sf_dir))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans, kinds = F.col("spans"), pii.BASE_KINDS
     return pii.pii_spans(documents(spark, sf_dir)).select(
@@ -117,7 +134,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": op2_secret_scan,
         "op3_license_scan": op3_license_scan,
         "op4_sentencepiece": op4_sentencepiece,
+        "op5_language_id": op5_language_id,
         "op6_simhash_dedup": op6_simhash_dedup,
+        "op7_toxicity": op7_toxicity,
+        "op8_decontamination": op8_decontamination,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_pii": op10_pii,
     }
 

@@ -11,6 +11,7 @@ started again, so memory is bounded whatever the vocabulary of the corpus.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -70,6 +71,12 @@ class ChunkCodec:
         return ids, "".join(surface)[1:]
 
 
+@lru_cache(maxsize=2)
+def _codec(model_file: str, max_table: int) -> ChunkCodec:
+    """One codec, with its table, per Python worker: tasks that reuse the worker find the table filled."""
+    return ChunkCodec(model_file, max_table)
+
+
 def sentencepiece_codec(
     df: DataFrame,
     model_file: str,
@@ -87,7 +94,7 @@ def sentencepiece_codec(
     """
 
     def start():
-        codec = ChunkCodec(model_file, max_table)
+        codec = _codec(model_file, max_table)
 
         def work(texts):
             both = [(None, None) if t is None else codec.encode_decode(t.decode()) for t in texts]
