@@ -3,7 +3,7 @@
 The gear hash of a place is the sum of table values of the bytes before it, shifted left once per byte; only its last
 32 bytes count. A chunk ends where the hash is the least of all within REACH bytes on either side, so cuts depend on
 nothing but the text near them: the same passage is cut alike wherever it stands, an insertion moves the cuts around it
-only, and chunks have REACH + 1 bytes at least and about 2 * REACH + 1 on average. Chunks are compared by a 64-bit digest:
+only, and chunks have REACH + 1 bytes at least and about 2 * REACH + 1 on average, and none has more than LONGEST. Chunks are compared by a 64-bit digest:
 one whose digest stands in two documents is a duplicate. Runs of neighbouring duplicate chunks with `min_words` words or
 more are reported; a chance collision of one digest can't make such a run.
 
@@ -25,6 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import BLANKS, LOWER_TABLE, slices
 
 REACH = 20
+LONGEST = 160
 WINDOW = 32
 MIN_WORDS = 25
 _GAP = WINDOW + REACH
@@ -75,7 +76,13 @@ def cuts(data: np.ndarray) -> np.ndarray:
         ends = np.nonzero(_least_around(gear(padded), REACH))[0] - (_GAP if lo == 0 else 0) + lo + 1
         found.append(ends[(ends > a) & (ends <= min(a + _STRETCH, n))])
     ends = np.concatenate(found)
-    return np.concatenate([ends[ends < n], [n]]) if n else ends[:0]
+    ends = np.concatenate([ends[ends < n], [n]]) if n else ends[:0]
+    # Monotonous stretches have no least hash: they are cut every LONGEST bytes from the cut before.
+    sizes = np.diff(np.concatenate([[0], ends]))
+    if len(ends) and sizes.max() > LONGEST:
+        extra = [np.arange(e - size + LONGEST, e, LONGEST) for e, size in zip(ends.tolist(), sizes.tolist()) if size > LONGEST]
+        ends = np.sort(np.concatenate([ends, *extra]))
+    return ends
 
 
 _IS_BLANK = np.isin(np.arange(256), np.frombuffer(BLANKS, np.uint8))
