@@ -67,7 +67,7 @@ def map_texts(
     """Columns `keep` of every row plus those of `new`, computed from whole texts in Arrow batches.
 
     `start()` runs once per task and returns the function from a list of UTF-8 texts (None for null) to
-    the new columns. No row is dropped or reordered, and nothing but the needed columns is read.
+    the new columns, each a list or an Arrow array. No row is dropped or reordered, and nothing but the needed columns is read.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -82,7 +82,7 @@ def map_texts(
             for a, b in slices(texts):
                 made = work(texts.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(a, b - a) for k in range(len(keep))), *(pa.array(made[f.name], f.type) for f in arrow)],
+                    [*(batch.column(k).slice(a, b - a) for k in range(len(keep))), *(made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in arrow)],
                     names=[*keep, *arrow.names],
                 )
 

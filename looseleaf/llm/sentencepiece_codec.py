@@ -12,7 +12,10 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -21,7 +24,7 @@ from .common import field, map_texts
 MARK = "\u2581"
 #: A run of spaces or markers, then everything up to the next one.
 _CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
-MAX_TABLE = 200_000
+MAX_TABLE = 400_000
 LONG_CHUNK = 200
 
 
@@ -33,7 +36,8 @@ class ChunkCodec:
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.max_table = max_table
-        self.table: dict[str, tuple[list[int], str]] = {}
+        self.ids: dict[str, bytes] = {}  # chunk -> its ids as 32-bit integers
+        self.odd: dict[str, str] = {}  # chunks that don't decode to themselves
         # Chunks are independent only under these properties of the model; else whole texts are segmented.
         pieces = (self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()))
         self.by_chunk = (
@@ -42,33 +46,40 @@ class ChunkCodec:
             and self.sp.normalize("\uff21 \u00e9\u0301") == f"{MARK}\uff21{MARK}\u00e9\u0301"
         )
 
-    def _segment(self, chunk: str) -> tuple[list[int], str]:
-        """Ids and surface of a chunk; the library's own leading marker stands for the chunk's first one."""
-        ids = self.sp.encode(chunk[1:])
-        if not ids:  # a lone marker: the library encodes "" to nothing, so take it from a text of two
-            ids = [self.sp.piece_to_id(MARK)]
-        return ids, " " + self.sp.decode(ids)
-
-    def encode_decode(self, text: str) -> tuple[list[int], str]:
-        if not text:
-            return [], ""
+    def _segment(self, chunks: list[str]) -> None:
+        """Puts chunks into the table; the library's own leading marker stands for the first one of each."""
+        made = self.sp.encode([c[1:] for c in chunks], num_threads=1)
+        lone = [self.sp.piece_to_id(MARK)]  # the library encodes "" to nothing; a marker alone is its own piece
+        made = [x or lone for x in made]
+        for chunk, ids, text in zip(chunks, made, self.sp.decode(made, num_threads=1)):
+            self.ids[chunk] = np.array(ids, np.int32).tobytes()
+            if " " + text != chunk:
+                self.odd[chunk] = " " + text
+
+    def encode_decode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """Ids (32-bit integers) and decoded text of each text; nothing for null."""
+        texts = [t or "" for t in texts]
         if not self.by_chunk:
-            ids = self.sp.encode(text)
-            return ids, self.sp.decode(ids)
-        ids: list[int] = []
-        surface: list[str] = []
-        table, known = self.table, self.table.get
-        for chunk in _CHUNK.findall(" " + text):
-            got = known(chunk)
-            if got is None:
-                got = self._segment(chunk)
-                if len(chunk) <= LONG_CHUNK:
-                    if len(table) >= self.max_table:
-                        table.clear()
-                    table[chunk] = got
-            ids += got[0]
-            surface.append(got[1])
-        return ids, "".join(surface)[1:]
+            made = self.sp.encode(texts, num_threads=1)
+            return [(np.array(x, np.int32).tobytes(), self.sp.decode(x) if x else "") for x in made]
+        cut = [_CHUNK.findall(" " + t) if t else [] for t in texts]
+        new = set(chain.from_iterable(cut)).difference(self.ids)
+        if new:
+            self._segment(list(new))
+        known, odd = self.ids.__getitem__, self.odd
+        out = []
+        for text, chunks in zip(texts, cut):
+            ids = b"".join(map(known, chunks))
+            same = not odd or odd.keys().isdisjoint(chunks)
+            out.append((ids, text if same else "".join(odd.get(c, c) for c in chunks)[1:]))
+        for c in new:
+            if len(c) > LONG_CHUNK:
+                del self.ids[c]
+                odd.pop(c, None)
+        if len(self.ids) > self.max_table:
+            self.ids.clear()
+            odd.clear()
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -97,8 +108,12 @@ def sentencepiece_codec(
         codec = _codec(model_file, max_table)
 
         def work(texts):
-            both = [(None, None) if t is None else codec.encode_decode(t.decode()) for t in texts]
-            return {ids_col: [x for x, _ in both], decoded_col: [x for _, x in both]}
+            made = codec.encode_decode([None if t is None else t.decode() for t in texts])
+            flat = np.frombuffer(b"".join(ids for ids, _ in made), np.int32)
+            ends = np.cumsum([0, *(len(ids) // 4 for ids, _ in made)])
+            null = np.array([t is None for t in texts])
+            offsets = pa.array(ends.astype(np.int32), mask=np.append(null, False))
+            return {ids_col: pa.ListArray.from_arrays(offsets, pa.array(flat)), decoded_col: [None if n else x for n, (_, x) in zip(null, made)]}
 
         return work
 
