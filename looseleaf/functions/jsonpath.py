@@ -515,17 +515,7 @@ class JsonPath:
             return F.transform(self.nodes_column(doc, limits), lambda n: F.try_parse_json(n["value"]))
         at = F.array(doc)
         for s in self.segments:
-            x = s.selectors[0]
-            if isinstance(x, Name):
-                spelled = "$" + _spark_name(x.name)
-                at = F.filter(F.transform(at, lambda v, p=spelled: F.try_variant_get(v, p, "variant")), lambda v: v.isNotNull())
-            else:
-                inside = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
-                if isinstance(x, At):
-                    pick = lambda v, i=x.index: F.when(F.size(inside(v)) > (i if i >= 0 else -i - 1), F.try_element_at(inside(v), F.lit(i + 1 if i >= 0 else i)))
-                    at = F.filter(F.transform(at, pick), lambda v: v.isNotNull())
-                else:
-                    at = F.flatten(F.transform(at, lambda v, x=x: _part(inside(v), x)))
+            at = _step(at, s.selectors[0])
         return at
 
     def nodes_column(self, doc: Column | str, limits: Limits = Limits()) -> Column:
@@ -538,6 +528,22 @@ class JsonPath:
         return map_json(run, T.ArrayType(NODE))(F.to_json(doc))
 
 
+def _inside(v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _step(at: Column, x) -> Column:
+    """Values below an array of values that a name, index or slice selects."""
+    if isinstance(x, Name):
+        spelled = "$" + _spark_name(x.name)
+        return F.filter(F.transform(at, lambda v: F.try_variant_get(v, spelled, "variant")), lambda v: v.isNotNull())
+    if isinstance(x, At):
+        least, place = (x.index, x.index + 1) if x.index >= 0 else (-x.index - 1, x.index)
+        picked = F.transform(at, lambda v: F.when(F.size(_inside(v)) > least, F.try_element_at(_inside(v), F.lit(place))))
+        return F.filter(picked, lambda v: v.isNotNull())
+    return F.flatten(F.transform(at, lambda v: _part(_inside(v), x)))
+
+
 def _part(array: Column, x: Slice) -> Column:
     n = F.size(array)
     edge = lambda i, default: F.lit(default) if i is None else F.least(n, F.lit(i)) if i >= 0 else F.greatest(n + i, F.lit(0))
