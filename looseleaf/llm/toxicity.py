@@ -28,7 +28,7 @@ from .linear_svm import fit, platt, sigmoid
 SPAN, DECAY, BITS = 6, 0.7, 18
 LANDMARKS = 320
 #: Most labelled texts of each class that training takes, and most distinct words taken from one of them.
-PER_CLASS = 1500
+PER_CLASS = 1000
 _PAIRS = [(j, k, DECAY ** (k - 2)) for k in range(2, SPAN) for j in range(1, k)]
 _MAX_WORDS = 300_000
 
