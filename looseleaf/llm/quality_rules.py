@@ -134,18 +134,18 @@ def quality_filter(df: DataFrame, text_col: str = "text", **options) -> DataFram
 
     Row identity is by key, so repeated rows all stay or all go. See quality_decisions for options and edge cases.
     """
-    made = quality_decisions(df, text_col=text_col, **options).filter("kept").select(*_KEY, "removed").dropDuplicates(_KEY)
+    made = quality_decisions(df, text_col=text_col, **options).filter("kept").select(*_KEY, F.col("removed").alias("__removed")).dropDuplicates(_KEY)
     rows = keyed(df, options.get("id_col", "doc_id"), text_col, options.get("host_col", "source")).join(made, _KEY)
     clean = without_lines(rows, text_col)
     if "n_chars" in df.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length(f"`{text_col}`")).cast(df.schema["n_chars"].dataType))
+        clean = clean.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length(f"`{text_col}`")).cast(df.schema["n_chars"].dataType))
     return clean.select(*[f"`{c}`" for c in df.columns])
 
 
 def without_lines(df: DataFrame, text_col: str) -> DataFrame:
-    """`df` with the lines of `text_col` whose hash is in the array column `removed` taken out; other rows untouched."""
+    """`df` with the lines of `text_col` whose hash is in the array column `__removed` taken out; other rows untouched."""
     t = F.col(f"`{text_col}`")
     normal = lambda line: F.trim(F.regexp_replace(F.translate(line, UPPER, LOWER), "[\\x20\\x09-\\x0D]+", " "))
-    left = F.filter(F.split(t, "\n", -1), lambda line: ~F.array_contains(F.col("removed"), F.xxhash64(normal(line))))
-    return df.withColumn(text_col, F.when(F.col("removed").isNull(), t).otherwise(F.array_join(left, "\n")))
+    left = F.filter(F.split(t, "\n", -1), lambda line: ~F.array_contains(F.col("__removed"), F.xxhash64(normal(line))))
+    return df.withColumn(text_col, F.when(F.col("__removed").isNull(), t).otherwise(F.array_join(left, "\n")))
 
