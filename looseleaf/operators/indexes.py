@@ -22,7 +22,6 @@ from .predicates import Compare, In, Predicate, nodes
 from .schema import signature
 
 MAX_TERM_BYTES = 512
-_TERM = "key binary, seq long, tag int, term string"
 
 
 def term_of(value) -> tuple[int, str]:
@@ -215,10 +214,7 @@ class IndexRegistry:
         return on_segment
 
     def table(self, index: int, segments: list[Segment]) -> DataFrame:
-        good = []
-        for s in segments:
-            path = f"{self.store.path}/indexes/{index}/{s.name}"
-            good.append(path)
+        good = [f"{self.store.path}/indexes/{index}/{s.name}" for s in segments]
         d = self.indexes()[index]
         if not good:
             empty = self.store.spark.createDataFrame([], "key binary, seq long, doc variant")
@@ -276,6 +272,11 @@ class IndexRegistry:
         return rows.filter(test).select("key").distinct()
 
 
+def short(value) -> bool:
+    """Whether a literal's term is kept in inverted indexes as it is."""
+    return len(term_of(value)[1].encode()) <= MAX_TERM_BYTES
+
+
 def indexable(leaf: Predicate, d: Definition) -> bool:
     """Whether an index answers a leaf: equality by an inverted one or a column, ranges by a column only."""
     if not isinstance(leaf, (Compare, In)) or str(leaf.path) != str(CatalogPath.parse(d.path)):

@@ -7,9 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from ..functions.paths import CatalogPath
-from ..operators.indexes import Definition, IndexRegistry, indexable
-from ..operators.predicates import And, Compare, ElemMatch, Exists, In, IsNull, Not, Or, Predicate, normalise
-from ..operators.query import Query
+from ..operators.indexes import Definition, IndexRegistry, indexable, short
+from ..operators.predicates import TRUE, And, Compare, ElemMatch, Exists, In, IsNull, Not, Or, Predicate, normalise
+from ..operators.query import KEYS, Query
 from ..operators.schema import NUMERIC, Schema, selectivity
 from ..sources.store import DocumentStore, Snapshot, as_key
 
@@ -22,6 +22,7 @@ class Source:
     index: int
     definition: Definition
     keys: DataFrame
+    certain: bool = False  # whether the lookup's keys are the leaf's answer, not just candidates for it
     candidates: int | None = None
     estimate: float | None = None
 
@@ -72,17 +73,18 @@ class Engine:
                     values = _tuple_values(leaf)
                     fields = {f: values.get(str(CatalogPath.parse(f))) for f in d.fields}
                     if all(v is not None for v in fields.values()):
-                        best = Source(leaf, k, d, self.indexes.lookup_tuple(k, fields, snap))
+                        parts = leaf.operand.parts if isinstance(leaf.operand, And) else (leaf.operand,)
+                        best = Source(leaf, k, d, self.indexes.lookup_tuple(k, fields, snap), len(parts) == len(fields))
                         break
                 elif indexable(leaf, d) and (best is None or d.kind == "inverted"):
                     op = "IN" if isinstance(leaf, In) else "EQ"
                     values = leaf.values if isinstance(leaf, In) else (leaf.value,)
                     keys = self.indexes.lookup(k, op, values, snap) if d.kind == "inverted" else self.indexes.evaluate(k, leaf, snap)
-                    best = Source(leaf, k, d, keys)
+                    best = Source(leaf, k, d, keys, d.kind == "column" or all(v is not None and short(v) for v in values))
                 elif isinstance(leaf, (Exists, IsNull)) and d.kind == "inverted" and str(leaf.path) == str(CatalogPath.parse(d.path)):
-                    best = best or Source(leaf, k, d, self.indexes.lookup(k, "EXISTS", (), snap))
+                    best = best or Source(leaf, k, d, self.indexes.lookup(k, "EXISTS", (), snap), isinstance(leaf, Exists))
                 elif isinstance(leaf, Not) and isinstance(leaf.part, Exists) and d.kind == "inverted" and str(leaf.part.path) == str(CatalogPath.parse(d.path)):
-                    best = best or Source(leaf, k, d, self.indexes.lookup(k, "ABSENT", (), snap))
+                    best = best or Source(leaf, k, d, self.indexes.lookup(k, "ABSENT", (), snap), True)
             if best is not None:
                 best.estimate = self._estimate(leaf)
                 plan.sources.append(best)
@@ -113,9 +115,22 @@ class Engine:
         return selectivity(self.schema, kind, leaf.path, len(leaf.values) if isinstance(leaf, In) else 1)
 
     def run(self, query: Query, snapshot: Snapshot | None = None, ordered: bool = True) -> DataFrame:
-        """The answer: candidates by semi-joins on key, the most selective first, then the document's own recheck."""
+        """The answer: candidates by semi-joins on key, the most selective first, then the document's own recheck.
+
+        Where the lookups answer all conjuncts for certain, all segments have side tables, no key stands in two of them, and keys
+        are all that is asked for, no document is read.
+        """
         snap = snapshot or self.store.snapshot()
         plan = self.plan(query, snap)
+        leaves = len(plan.predicate.parts) if isinstance(plan.predicate, And) else 1
+        if query.projection == KEYS and plan.sources and not plan.scanned and leaves == len(plan.sources) and all(s.certain for s in plan.sources):
+            first, last = (None if k is None else as_key(k) for k in (query.first, query.last))
+            if not self.store.versions(snap, first, last)[1]:
+                keys = plan.sources[0].keys
+                for s in plan.sources[1:]:
+                    keys = keys.join(s.keys, "key", "left_semi")
+                bounds = (None if k is None else bytearray(k) for k in (first, last))
+                return Query(TRUE, KEYS, *bounds, query.limit).on(keys, ordered=ordered)
         docs = self.store.scan(query.first, query.last, snap, ordered=False)
         if plan.sources and plan.indexed:
             keys = plan.sources[0].keys

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import json
-import time
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field, replace
@@ -55,6 +54,7 @@ class Segment:
     high_seq: int
     tombstones: int
     level: int = 0
+    versions: bool = False  # a key may stand more than once in it
 
     def may_hold(self, first: bytes | None, last: bytes | None) -> bool:
         a, b = base64.b64decode(self.first), base64.b64decode(self.last)
@@ -210,7 +210,7 @@ class DocumentStore:
         self._observe(made)
         return made
 
-    def _write_segment(self, rows: DataFrame, level: int) -> Segment | None:
+    def _write_segment(self, rows: DataFrame, level: int, versions: bool = False) -> Segment | None:
         name = f"segment-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/data/{name}")
         made = self.read_segments([name])
@@ -220,7 +220,7 @@ class DocumentStore:
         if not r.n:
             self._fs.delete(self._path("data", name), True)
             return None
-        return Segment(name, r.n, base64.b64encode(r.a).decode(), base64.b64encode(r.b).decode(), r.lo, r.hi, r.dead, level)
+        return Segment(name, r.n, base64.b64encode(r.a).decode(), base64.b64encode(r.b).decode(), r.lo, r.hi, r.dead, level, versions)
 
     def _observe(self, segment: Segment) -> None:
         for o in self.options.observers:
@@ -262,7 +262,7 @@ class DocumentStore:
             rows = rows.filter(F.col("seq") <= snap.sequence)
         spans = sorted((base64.b64decode(s.first), base64.b64decode(s.last)) for s in parts)
         apart = all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
-        return rows, not apart
+        return rows, not apart or any(s.versions for s in parts)
 
     def scan(self, first=None, last=None, snapshot: Snapshot | None = None, ordered: bool = True) -> DataFrame:
         """(key, doc) of every live key in a range, both ends included; in key order unless `ordered` is False.
@@ -303,11 +303,10 @@ class DocumentStore:
         if not m.segments:
             return m
         rows = self.read_segments([s.name for s in m.segments])
-        keep = newest(rows) if oldest is None or oldest.sequence >= m.sequence else _still_seen(rows, oldest.sequence)
-        if oldest is None or oldest.sequence >= m.sequence:
-            keep = keep.filter(F.col("doc").isNotNull())
+        pinned = oldest is not None and oldest.sequence < m.sequence
+        keep = _still_seen(rows, oldest.sequence) if pinned else newest(rows).filter(F.col("doc").isNotNull())
         parts = max(1, -(-sum(s.rows for s in m.segments) // self.options.target_rows))
-        made = self._write_segment(keep.select("key", "seq", "doc").repartitionByRange(parts, "key").sortWithinPartitions("key", F.col("seq").desc()), 1)
+        made = self._write_segment(keep.select("key", "seq", "doc").repartitionByRange(parts, "key").sortWithinPartitions("key", F.col("seq").desc()), 1, pinned)
         new = replace(m, version=m.version + 1, segments=(made,) if made else ())
         self._write_manifest(new)
         if made:
@@ -377,7 +376,3 @@ def _still_seen(rows: DataFrame, oldest: int) -> DataFrame:
     """Versions that a snapshot at `oldest` or later can see: those after it, and the newest of those up to it."""
     old = newest(rows.filter(F.col("seq") <= oldest))
     return rows.filter(F.col("seq") > oldest).unionByName(old)
-
-
-def now_millis() -> int:
-    return int(time.time() * 1000)
