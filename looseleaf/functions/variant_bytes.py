@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from decimal import Decimal
+from decimal import Context, Decimal
+from functools import lru_cache
 
+_EXACT = Context(prec=60)
 _INT = {3: (1, "b"), 4: (2, "<h"), 5: (4, "<i"), 6: (8, "<q")}
 _FIXED = {0: 0, 1: 0, 2: 0, 3: 1, 4: 2, 5: 4, 6: 8, 7: 8, 8: 5, 9: 9, 10: 17, 11: 4, 12: 8, 13: 8, 14: 4, 17: 8, 18: 8, 19: 8, 20: 16}
 _KINDS = {0: "NULL", 1: "BOOLEAN", 2: "BOOLEAN", 7: "DOUBLE", 8: "DECIMAL", 9: "DECIMAL", 10: "DECIMAL", 11: "DATE", 12: "TIMESTAMP", 13: "TIMESTAMP", 14: "FLOAT", 15: "BINARY", 16: "STRING", 17: "TIME", 18: "TIMESTAMP", 19: "TIMESTAMP", 20: "UUID"}
 
 
+@lru_cache(maxsize=4096)
 def names(metadata: bytes) -> list[str]:
-    """The dictionary of field names."""
+    """The dictionary of field names; documents of one shape share it."""
     size = (metadata[0] >> 6) + 1
     n = int.from_bytes(metadata[1 : 1 + size], "little")
     at = [int.from_bytes(metadata[1 + size * (1 + i) : 1 + size * (2 + i)], "little") for i in range(n + 1)]
@@ -23,20 +26,26 @@ def names(metadata: bytes) -> list[str]:
 def children(value: bytes, at: int) -> tuple[str, list[tuple[int | None, int]], int]:
     """(OBJECT or ARRAY, [(name id or None, offset)], offset past the end) of a container."""
     head = value[at]
-    basic, info = head & 3, head >> 2
-    if basic == 2:
-        off_size, id_size, large = (info & 3) + 1, (info >> 2 & 3) + 1, info >> 4 & 1
-    else:
-        off_size, id_size, large = (info & 3) + 1, 0, info >> 2 & 1
-    size = 4 if large else 1
-    n = int.from_bytes(value[at + 1 : at + 1 + size], "little")
+    info = head >> 2
+    is_object = head & 3 == 2
+    off_size = (info & 3) + 1
+    id_size = (info >> 2 & 3) + 1 if is_object else 0
+    size = 4 if info >> (4 if is_object else 2) & 1 else 1
+    n = value[at + 1] if size == 1 else int.from_bytes(value[at + 1 : at + 5], "little")
     ids = at + 1 + size
     offs = ids + n * id_size
     base = offs + (n + 1) * off_size
-    get = lambda i: int.from_bytes(value[offs + i * off_size : offs + (i + 1) * off_size], "little")
-    end = base + get(n)
-    kids = [(int.from_bytes(value[ids + i * id_size : ids + (i + 1) * id_size], "little") if basic == 2 else None, base + get(i)) for i in range(n)]
-    return ("OBJECT" if basic == 2 else "ARRAY"), kids, end
+    places = _numbers(value, offs, n + 1, off_size)
+    labels = _numbers(value, ids, n, id_size) if is_object else [None] * n
+    return ("OBJECT" if is_object else "ARRAY"), [(i, base + x) for i, x in zip(labels, places)], base + places[n]
+
+
+def _numbers(value: bytes, at: int, n: int, size: int) -> list[int]:
+    if size == 1:
+        return list(value[at : at + n])
+    if size in (2, 4):
+        return list(struct.unpack_from(f"<{n}{'H' if size == 2 else 'I'}", value, at))
+    return [int.from_bytes(value[at + 3 * i : at + 3 * i + 3], "little") for i in range(n)]
 
 
 def scalar(value: bytes, at: int) -> tuple[str, object, int]:
@@ -55,9 +64,11 @@ def scalar(value: bytes, at: int) -> tuple[str, object, int]:
         return _KINDS[t], body if t == 15 else body.decode(), 5 + n
     size = 1 + _FIXED[t]
     if t in (8, 9, 10):
-        unscaled = int.from_bytes(value[at + 2 : at + size], "little", signed=True)
-        d = Decimal((unscaled < 0, tuple(map(int, str(abs(unscaled)))), -value[at + 1]))
-        return ("INTEGER", int(d), size) if d == (whole := d.to_integral_value()) and abs(whole) < 2**63 else ("DECIMAL", d, size)
+        unscaled, scale = int.from_bytes(value[at + 2 : at + size], "little", signed=True), value[at + 1]
+        whole, rest = divmod(unscaled, 10**scale)
+        if not rest and -(2**63) <= whole < 2**63:
+            return "INTEGER", whole, size
+        return "DECIMAL", Decimal(unscaled).scaleb(-scale, _EXACT), size
     if t in (7, 14):
         d = struct.unpack_from("<d" if t == 7 else "<f", value, at + 1)[0]
         return ("INTEGER", int(d), size) if t == 7 and d == d and abs(d) < 2**63 and d == int(d) else (_KINDS[t], d, size)
@@ -72,7 +83,7 @@ def walk(value: bytes, metadata: bytes, max_depth: int = 1000, max_children: int
     A collapsed path holds field names, and None for any array element. `cut` says that a container has more children, or
     lies deeper, than the budgets let the walk follow; its own node is still reported.
     """
-    words = names(metadata)
+    words = names(bytes(metadata))
     todo: list[tuple[int, tuple]] = [(0, ())]
     while todo:
         at, path = todo.pop()

@@ -56,6 +56,8 @@ def path_of(collapsed: tuple) -> CatalogPath:
     return CatalogPath(tuple(ANY_ELEMENT if x is None else Field(x) for x in collapsed))
 
 
+#: Values remembered in a batch so as not to be looked at again.
+_MET = 500_000
 _PARTIAL = "path string, kind string, n long, bytes long, low decimal(38,18), high decimal(38,18), first string, last string, cuts long, sig long"
 
 
@@ -74,6 +76,7 @@ def partial_sketch(docs: DataFrame, doc: str = "doc", budgets: Budgets = Budgets
             counts: dict[tuple, list] = {}
             sigs: set[tuple] = set()
             spelled: dict[tuple, str] = {}
+            met: set[tuple] = set()
             for v in batch.column(0).to_pylist():
                 if v is None:
                     continue
@@ -88,6 +91,9 @@ def partial_sketch(docs: DataFrame, doc: str = "doc", budgets: Budgets = Budgets
                     c[6] += cut
                     if len(path) >= budgets.depth or kind in ("ARRAY", "OBJECT", "NULL"):
                         continue  # a scalar at the depth limit counts, but bounds and distinct values stop above it
+                    if (path, kind, x) in met:  # its bounds and signature are in already
+                        continue
+                    met.add((path, kind, x))
                     d = _number(kind, x)
                     if d is not None:
                         c[2] = d if c[2] is None or d < c[2] else c[2]
@@ -98,6 +104,8 @@ def partial_sketch(docs: DataFrame, doc: str = "doc", budgets: Budgets = Budgets
                     s = signature(kind, x)
                     if s is not None:
                         sigs.add((path, int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True)))
+                    if len(met) > _MET:
+                        met.clear()
             rows = [(spelled[p], k, *c, None) for (p, k), c in counts.items()] + [(spelled[p], None, 0, 0, None, None, None, None, 0, s) for p, s in sigs]
             cols = list(zip(*rows)) if rows else [[]] * 10
             types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.decimal128(38, 18), pa.decimal128(38, 18), pa.string(), pa.string(), pa.int64(), pa.int64()]

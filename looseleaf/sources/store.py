@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import variants as V
@@ -212,15 +212,17 @@ class DocumentStore:
 
     def _write_segment(self, rows: DataFrame, level: int, versions: bool = False) -> Segment | None:
         name = f"segment-{uuid.uuid4().hex}"
+        seen = Observation()
+        rows = rows.observe(
+            seen, F.count("*").alias("n"), F.min(F.hex("key")).alias("a"), F.max(F.hex("key")).alias("b"), F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count_if(F.col("doc").isNull()).alias("dead")
+        )
         rows.write.parquet(f"{self.path}/data/{name}")
-        made = self.read_segments([name])
-        r = made.agg(
-            F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b"), F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count_if(F.col("doc").isNull()).alias("dead")
-        ).first()
+        r = Row(**seen.get)
         if not r.n:
             self._fs.delete(self._path("data", name), True)
             return None
-        return Segment(name, r.n, base64.b64encode(r.a).decode(), base64.b64encode(r.b).decode(), r.lo, r.hi, r.dead, level, versions)
+        ends = [base64.b64encode(bytes.fromhex(x)).decode() for x in (r.a, r.b)]
+        return Segment(name, r.n, *ends, r.lo, r.hi, r.dead, level, versions)
 
     def _observe(self, segment: Segment) -> None:
         for o in self.options.observers:
