@@ -41,7 +41,8 @@ def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_discount").alias("disc"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("state"),
         ))).alias("items")
     )
-    joined = table(spark, sf_dir, "orders").join(lines, k == F.col("l_orderkey"), "left")
+    # Building JSON is what costs here: spread the rows for it, however few files and splits they came from.
+    joined = table(spark, sf_dir, "orders").join(lines, k == F.col("l_orderkey"), "left").repartition(k)
     score = (k % 50).cast("string")
     body = F.to_json(F.struct(
         k.alias("orderkey"), F.col("o_custkey").alias("custkey"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"),
