@@ -242,14 +242,14 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.join(of, "fp", "left").select(f"`{id_col}`", *[f"`{c}`" for c in extra or []], "fp", "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `df` that stay when one document of each group does: that with the group's smallest id.
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group=simhash_groups, **options) -> DataFrame:
+    """The rows of `df` that stay when one document of each group (as made by `group`) does: that with the group's smallest id.
 
     Of repeated rows (same id and text) one stays. Rows with a null id in a group that has ids go; where a group has
     null ids only, each distinct text stays. All columns stay as they are.
     """
     key = {"__k1": F.xxhash64(f"`{id_col}`"), "__k2": F.xxhash64(f"`{text_col}`")}
     names = list(df.columns)
-    groups = simhash_groups(df.withColumns(key), id_col, text_col, extra=["__k1", "__k2"], **options)
+    groups = group(df.withColumns(key), id_col, text_col, extra=["__k1", "__k2"], **options)
     stay = groups.filter(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).select("__k1", "__k2").distinct()
     return df.withColumns(key).join(stay, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*[f"`{c}`" for c in names])
