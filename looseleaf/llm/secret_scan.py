@@ -36,6 +36,7 @@ _UNI = re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|U[0-9A
 _LINE = re.compile(r"[^\n]+")
 _URL = re.compile(r"%[0-9A-Fa-f]{2}")
 _UNI = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
+_URLS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}")
 #: A text without any of these has neither a base span nor a layer to unwrap (RE2 syntax, run over whole batches).
 _ANY = r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|[A-Za-z0-9+/_-]{16}"
@@ -90,6 +91,39 @@ def _whole(data: bytes, span: tuple[int, int], path: str) -> Layer | None:
     return _bytes_to_layer(data, [span] * len(data), path)
 
 
+def _url_layer(layer: Layer, begin: int, end: int) -> Layer | None:
+    """A line with each run of URL escapes decoded by itself; None if no escape is text.
+
+    Bytes that aren't UTF-8 and control characters become U+FFFD; all else of the line stays.
+    """
+    text, i, known = layer.text, begin, False
+    chars, starts, ends = [], [], []
+
+    def plain(a, b):
+        chars.extend(text[a:b])
+        for k in range(a, b):
+            x, y = layer.at(k)
+            starts.append(x)
+            ends.append(y)
+
+    for e in _URLS.finditer(text, begin, end):
+        plain(i, e.start())
+        k = e.start()
+        for c in bytes.fromhex(e.group().replace("%", "")).decode("utf-8", "surrogateescape"):
+            stray = "\udc80" <= c <= "\udcff"
+            n = 3 if stray else 3 * len(c.encode())
+            x, y = layer.root(k, k + n)
+            bad = stray or c < " " and c not in "\t\n\r"
+            known |= not bad
+            chars.append("\ufffd" if bad else c)
+            starts.append(x)
+            ends.append(y)
+            k += n
+        i = e.end()
+    plain(i, end)
+    return Layer("".join(chars), starts, ends, layer.path + "url>") if known else None
+
+
 def _inflate(data: bytes, limit: int) -> bytes | None:
     """Bytes of a gzip, zlib or raw-in-gzip payload; None if it isn't one; OverflowError beyond `limit`."""
     if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
@@ -110,17 +144,7 @@ def _unwrap(layer: Layer, limit: int):
     for line in _LINE.finditer(text) if "%" in text or "\\" in text else ():
         begin, end = line.span()
         if _URL.search(text, begin, end):
-            data, places, i = bytearray(), [], begin
-            for e in [*_URL.finditer(text, begin, end), None]:
-                for k in range(i, e.start() if e else end):
-                    raw = text[k].encode()
-                    data += raw
-                    places += [layer.at(k)] * len(raw)
-                if e:
-                    data.append(int(e.group()[1:], 16))
-                    places.append(layer.root(*e.span()))
-                    i = e.end()
-            if child := _bytes_to_layer(bytes(data), places, path + "url>"):
+            if child := _url_layer(layer, begin, end):
                 yield child
         if _UNI.search(text, begin, end):
             units, places, i = [], [], begin
