@@ -176,6 +176,7 @@ def _unwrap(layer: Layer, limit: int):
         except OverflowError:
             yield ("oversize", *span)
             continue
+        packed = inflated is not None
         for _ in range(64):  # payloads compressed more than once, without base64 between
             if inflated is None:
                 break
@@ -187,9 +188,7 @@ def _unwrap(layer: Layer, limit: int):
                 inflated = _inflate(data, limit)
             except OverflowError:
                 yield ("oversize", *span)
-        else:
-            continue
-        if inflated is None:
+        if not packed:  # only the token's own bytes have places in it
             places = []
             for k in range(len(data)):
                 a = m.start() + k // 3 * 4 + k % 3

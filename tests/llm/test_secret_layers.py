@@ -28,3 +28,16 @@ def test_url_places():
     a = text.index("%73")
     assert spans == [("url>assign", a, text.index("%E9%20"))]
     assert secret_scan.scan_text("%E9 %00 token") == []
+
+
+BINARY = bytes(range(256)) * 8
+
+
+@pytest.mark.parametrize("packed", [gzip.compress(BINARY, mtime=0), zlib.compress(BINARY), gzip.compress(gzip.compress(BINARY, mtime=0), mtime=0)])
+def test_nested_binary_payloads(packed):
+    token = base64.b64encode(packed).decode()
+    text = f"%41 {token} password%3Dhunter2hunter2"
+    assert [s[0] for s in secret_scan.scan_text(text)] == ["url>assign"]
+    nested = base64.b64encode(f"x {token} secret=abcdefgh".encode()).decode()
+    assert [s[0] for s in secret_scan.scan_text(nested)] == ["base64>assign"]
+    assert [s[0] for s in secret_scan.scan_text(f"\\u0041 {token} token\\u003dabcdefgh")] == ["unicode>assign"]
