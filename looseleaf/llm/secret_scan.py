@@ -10,9 +10,9 @@ root text it came from, so a secret found five layers down is reported at root o
 from __future__ import annotations
 
 import base64
-import binascii
 import re
 import zlib
+from bisect import bisect_right
 from collections import deque
 from hashlib import blake2b
 
@@ -37,7 +37,12 @@ _LINE = re.compile(r"[^\n]+")
 _URL = re.compile(r"%[0-9A-Fa-f]{2}")
 _UNI = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 _URLS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}")
+#: A run of base64 signs (both alphabets), the marks that may part it from others, and one on a line of its own below.
+MIN_TOKEN = 16
+_RUN = re.compile(r"([A-Za-z0-9+/_-]{16,})={0,2}")
+_MARK = re.compile(r"[+/_-]")
+_NEXT = re.compile(r"[\x20\t]*\r?\n[\x20\t]*([A-Za-z0-9+/_-]+)(={0,2})(?=[\x20\t]*(?:\r?\n|\Z))")
+_CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 #: A text without any of these has neither a base span nor a layer to unwrap (RE2 syntax, run over whole batches).
 _ANY = r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|[A-Za-z0-9+/_-]{16}"
 
@@ -124,18 +129,39 @@ def _url_layer(layer: Layer, begin: int, end: int) -> Layer | None:
     return Layer("".join(chars), starts, ends, layer.path + "url>") if known else None
 
 
-def _inflate(data: bytes, limit: int) -> bytes | None:
-    """Bytes of a gzip, zlib or raw-in-gzip payload; None if it isn't one; OverflowError beyond `limit`."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
+def _may_inflate(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0)
+
+
+def _inflate(data: bytes, limit: int) -> tuple[bytes | None, int]:
+    """Bytes of a gzip or zlib payload and its size, whatever follows it; None if it isn't one; OverflowError beyond `limit`."""
+    if _may_inflate(data):
         d = zlib.decompressobj(47)
         try:
             out = d.decompress(data, limit + 1)
         except zlib.error:
-            return None
+            return None, 0
         if len(out) > limit:
             raise OverflowError
-        return out if d.eof else None
-    return None
+        if d.eof:
+            return out, len(data) - len(d.unused_data)
+    return None, 0
+
+
+def _text_bytes(data: bytes) -> int:
+    """How many of the bytes are UTF-8 without control characters, up to the first that isn't."""
+    control = _CONTROL.search(data)
+    part = data[: control.start()] if control else data
+    try:
+        part.decode()
+    except UnicodeDecodeError as e:
+        return e.start
+    return len(part)
+
+
+def _is_text(data: bytes, whole: bool) -> bool:
+    """Whether bytes are text; if not `whole`, the last character may be cut."""
+    return _text_bytes(data) >= len(data) - (0 if whole else 3)
 
 
 def _unwrap(layer: Layer, limit: int):
@@ -162,39 +188,92 @@ def _unwrap(layer: Layer, limit: int):
                         places.append(layer.root(*e.span()))
             decoded = "".join("\ufffd" if "\ud800" <= c < "\ue000" else c for c in units)
             yield Layer(decoded, [p[0] for p in places], [p[1] for p in places], path + "unicode>")
-    for m in _B64.finditer(text):
-        token = m.group().rstrip("=")
-        if len(token) % 4 == 1 or token.isalpha() and (token.islower() or token.isupper() or token.istitle()):
-            continue  # not a whole number of bytes, or a plain word
-        try:
-            data = base64.b64decode(token.replace("-", "+").replace("_", "/") + "=" * (-len(token) % 4), validate=True)
-        except (binascii.Error, ValueError):
+    last = 0  # end of the wrapped block before
+    for m in _RUN.finditer(text):
+        places, edges, pad = list(range(*m.span(1))), [m.start(1), *(x.end() for x in _MARK.finditer(text, *m.span(1)))], m.end() - m.end(1)
+        yield from _tokens(layer, places, [x - m.start(1) for x in edges], pad, limit, False)
+        if pad or m.start() < last:
+            continue
+        # Lines of equal width below it, the last of which may be shorter, are joined; the first may begin with other text.
+        starts, width, after = [x - m.start(1) for x in edges], 0, _NEXT.match(text, m.end())
+        while after and (not width or len(after[1]) <= width):
+            width = width or len(after[1])
+            starts.append(len(places))
+            starts += [len(places) + x.end() - after.start(1) for x in _MARK.finditer(text, *after.span(1))]
+            places += range(*after.span(1))
+            last, pad = after.end(), len(after[2])
+            if pad or len(after[1]) < width:
+                break
+            after = _NEXT.match(text, after.end())
+        if last > m.end():
+            yield from _tokens(layer, places, starts, pad, limit, True)
+
+
+def _tokens(layer: Layer, places: list[int], starts: list[int], pad: int, limit: int, wrapped: bool):
+    """Child layers of the base64 tokens in a run of characters, at `places` of the layer's text.
+
+    A token begins at one of `starts` (the run's own, behind a mark, a line's) and ends at the next mark or line end that leaves
+    it text, at best that of the run, where `pad` signs `=` follow. Of a wrapped run only tokens of more than one line count.
+    """
+    text, path, n = layer.text, layer.path, len(places)
+    run = "".join([text[p] for p in places])
+    code = run.replace("-", "+").replace("_", "/")
+    ends = sorted({n, *(x for x in starts if x), *(x - 1 for x in starts if x)})
+    done = 0
+
+    def root(a, b):
+        return layer.root(places[a], places[b - 1] + 1 + (pad if b == n else 0))
+
+    for start in starts:
+        if start < done or n - start < MIN_TOKEN:
+            continue
+        head = base64.b64decode(code[start : start + MIN_TOKEN])
+        if not _may_inflate(head) and not _is_text(head, False):
             continue
-        span = layer.root(*m.span())
+        size = n - start
+        data = base64.b64decode(code[start : n - (size % 4 == 1)] + "=" * (-(size - (size % 4 == 1)) % 4))
         try:
-            inflated = _inflate(data, limit)
+            inflated, used = _inflate(data, limit)
         except OverflowError:
-            yield ("oversize", *span)
+            yield ("oversize", *root(start, n))
+            done = n
+            continue
+        if inflated is not None:
+            done = n if used == len(data) else min(n, start + -(-used * 4 // 3))
+            if wrapped and places[done - 1] - places[start] == done - 1 - start:
+                continue  # on one line: found there
+            span = root(start, done)
+            for _ in range(64):  # payloads compressed more than once, without base64 between
+                if child := _whole(inflated, span, path + "base64>inflate>"):
+                    yield child
+                    break
+                try:
+                    inflated, _used = _inflate(inflated, limit)
+                except OverflowError:
+                    yield ("oversize", *span)
+                    break
+                if inflated is None:
+                    break
             continue
-        packed = inflated is not None
-        for _ in range(64):  # payloads compressed more than once, without base64 between
-            if inflated is None:
+        good = _text_bytes(data)
+        top = n if good == len(data) else start + -(-good * 4 // 3)
+        for k in range(bisect_right(ends, top) - 1, -1, -1):
+            end = ends[k]
+            if end - start < MIN_TOKEN:
                 break
-            if child := _whole(inflated, span, path + "base64>inflate>"):
-                yield child
+            token = run[start:end]
+            if len(token) % 4 == 1 or token.isalpha() and (token.islower() or token.isupper() or token.istitle()):
+                continue  # not a whole number of bytes, or a plain word
+            part = data[: len(token) * 3 // 4]
+            if not _is_text(part, True):
+                continue
+            done = end
+            if wrapped and places[end - 1] - places[start] == end - 1 - start:
                 break
-            data, inflated = inflated, None
-            try:
-                inflated = _inflate(data, limit)
-            except OverflowError:
-                yield ("oversize", *span)
-        if not packed:  # only the token's own bytes have places in it
-            places = []
-            for k in range(len(data)):
-                a = m.start() + k // 3 * 4 + k % 3
-                places.append(layer.root(a, min(a + 2, m.end())))
-            if child := _bytes_to_layer(data, places, path + "base64>"):
+            at = [start + i // 3 * 4 + i % 3 for i in range(len(part))]
+            if child := _bytes_to_layer(part, [root(a, min(a + 2, end)) for a in at], path + "base64>"):
                 yield child
+            break
 
 
 def scan_text(text: str, limit: int = MAX_LAYER_BYTES) -> list[tuple[str, int, int]]:

@@ -41,3 +41,50 @@ def test_nested_binary_payloads(packed):
     nested = base64.b64encode(f"x {token} secret=abcdefgh".encode()).decode()
     assert [s[0] for s in secret_scan.scan_text(nested)] == ["base64>assign"]
     assert [s[0] for s in secret_scan.scan_text(f"\\u0041 {token} token\\u003dabcdefgh")] == ["unicode>assign"]
+
+
+PLAIN = "a password=hunter2hunter2?>~ b"
+LONG = "\n".join(f"line {k} of the text" for k in range(30)) + "\nsecret=abcdefgh-and-more " + "z" * 40
+
+
+@pytest.mark.parametrize("data", [PLAIN.encode(), gzip.compress(PLAIN.encode(), mtime=0), zlib.compress(PLAIN.encode())])
+@pytest.mark.parametrize("before", ["https://h.example/cfg/", "payload-", "key_", "a/b-c_d+", ""])
+@pytest.mark.parametrize("after", ["", "/rest-of_it", "-x"])
+@pytest.mark.parametrize("encode", [base64.b64encode, base64.urlsafe_b64encode])
+def test_base64_behind_and_before_marks(data, before, after, encode):
+    token = encode(data).decode().rstrip("=")
+    spans, masked = hidden(f"see {before}{token}{after} end")
+    assert any(s[0] in ("base64>assign", "base64>inflate>assign") for s in spans), (spans, token)
+    assert token not in masked and masked.startswith(f"see {before}") and masked.endswith(" end")
+
+
+@pytest.mark.parametrize("width", [76, 64, 75, 19])
+@pytest.mark.parametrize("glue", ["\n", "\r\n", "\n  "])
+@pytest.mark.parametrize("before", ["", "text above\n", "data: ", "key_"])
+def test_wrapped_base64(width, glue, before):
+    for data, name in ((LONG.encode(), "base64>assign"), (gzip.compress(LONG.encode(), mtime=0), "base64>inflate>assign"), (gzip.compress(BINARY, mtime=0), None)):
+        token = base64.b64encode(data).decode()
+        lines = [token[k : k + width] for k in range(0, len(token), width)]
+        text = before + glue.join(lines) + "\nbelow"
+        spans, masked = hidden(text)
+        assert (name is None and not spans) or name in {s[0] for s in spans}
+        if name == "base64>inflate>assign":
+            assert masked == before + "[S]" + "\nbelow"
+
+
+def test_a_secret_over_a_line_break_keeps_its_place():
+    token = base64.b64encode(b"x" * 40 + b" password=hunter2hunter2 " + b"y" * 40).decode()
+    text = "\n".join(token[k : k + 64] for k in range(0, len(token), 64))
+    spans, _ = hidden(text)
+    a, b = 41 // 3 * 4 + 41 % 3, 64 // 3 * 4 + 1
+    assert any(k == "base64>assign" and x == a and y > 65 for k, x, y in spans), (spans, a, b)
+
+
+def test_long_runs_stay_linear():
+    import random
+    import time
+
+    data = random.Random(1).randbytes(750_000)
+    began = time.perf_counter()
+    secret_scan.scan_text(base64.b64encode(data).decode())
+    assert time.perf_counter() - began < 30
