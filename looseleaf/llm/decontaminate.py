@@ -166,7 +166,12 @@ class ItemIndex:
         found: dict[int, list[tuple[float, int]]] = {}
         for n, (group, _, _) in self.by_size.items():
             m = n - SHINGLE + 1
-            if n < SHINGLE or len(words) < n:
+            if n < SHINGLE:
+                continue
+            if len(words) < n:  # the whole document is the window; its weight bounds the similarity
+                for k in group:
+                    if similarity * self.items[k].total <= w.sum() and (s := self._similar(self.items[k], sh, w)) >= similarity:
+                        found.setdefault(k, []).append((s, 0))
                 continue
             # Starts of windows with an anchor in them, as ranges that don't overlap.
             last = len(sh) - m
@@ -190,7 +195,7 @@ class ItemIndex:
             for s, p in sorted(places, key=lambda x: (-x[0], x[1])):
                 if all(abs(p - q) >= n for q in taken):
                     taken.append(p)
-                    out.append((self.items[k].item_id, p, p + n, s))
+                    out.append((self.items[k].item_id, p, min(p + n, len(words)), s))
         return out
 
     @staticmethod
