@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import variants as V
 from ..functions.paths import CatalogPath
-from ..sources.store import DocumentStore, Segment, Snapshot
+from ..sources.store import Corrupt, DocumentStore, Segment, Snapshot
 from .predicates import Compare, In, Predicate, nodes
 from .schema import signature
 
@@ -120,17 +120,18 @@ class IndexRegistry:
         self.problems: list[str] = []
 
     def _load(self) -> dict:
-        try:
-            return json.loads(self.store._read_text("indexes", "registry.json"))
-        except Exception:
+        """The newest registry; Corrupt if it can't be read (a store without one has no indexes yet)."""
+        known = self.store._versions("registry")
+        if not known:
             return {"next": 1, "indexes": {}}
+        try:
+            return json.loads(self.store._read_text("registry", f"{known[-1]:012d}.json"))
+        except ValueError as e:
+            raise Corrupt(f"registry {known[-1]}: {e}") from None
 
     def _save(self, state: dict) -> None:
-        fs = self.store._fs
-        fs.mkdirs(self.store._path("indexes"))
-        out = fs.create(self.store._path("indexes", "registry.json"), True)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
+        """The next registry; Locked if another writer was first."""
+        self.store.commit_file("registry", max(self.store._versions("registry"), default=0) + 1, json.dumps(state))
 
     def indexes(self) -> dict[int, Definition]:
         return {int(k): Definition(v["kind"], v["path"], tuple(v["fields"])) for k, v in self._load()["indexes"].items()}

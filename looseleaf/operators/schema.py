@@ -58,14 +58,40 @@ def path_of(collapsed: tuple) -> CatalogPath:
 
 #: Values remembered in a batch so as not to be looked at again.
 _MET = 500_000
-_PARTIAL = "path string, kind string, n long, bytes long, low decimal(38,18), high decimal(38,18), first string, last string, cuts long, sig long"
+_BOUND = "struct<rank:string,digits:string>"
+_PARTIAL = f"path string, kind string, n long, bytes long, low {_BOUND}, high {_BOUND}, first string, last string, cuts long, sig long"
+_NINES = str.maketrans("0123456789", "9876543210")
 
 
 def _number(kind: str, x) -> Decimal | None:
     if kind not in NUMERIC or isinstance(x, float) and not math.isfinite(x):
         return None
-    d = Decimal(repr(x)) if isinstance(x, float) else Decimal(x)
-    return d if abs(d) < Decimal(10) ** 20 else None
+    return Decimal(repr(x)) if isinstance(x, float) else Decimal(x)
+
+
+def rank_of(d: Decimal) -> str:
+    """A text whose byte order is the order of numbers, whatever their width: sign, exponent, digits."""
+    if not d:
+        return "1"
+    places = "".join(map(str, d.as_tuple().digits)).rstrip("0")
+    if d > 0:
+        return f"2{d.adjusted() + 50_000:05d}{places}"
+    return f"0{50_000 - d.adjusted():05d}{places.translate(_NINES)}~"
+
+
+def spelled_number(d: Decimal) -> str:
+    """A number's digits without trailing zeros; with an exponent where it is far from the ones."""
+    sign, digits, exponent = d.as_tuple()
+    text = "".join(map(str, digits)).lstrip("0")
+    bare = text.rstrip("0")
+    if not bare:
+        return "0"
+    short = Decimal((sign, tuple(map(int, bare)), exponent + len(text) - len(bare)))
+    return f"{short:f}" if -40 < short.adjusted() < 40 else str(short)
+
+
+def _bound(d: Decimal | None) -> dict | None:
+    return None if d is None else {"rank": rank_of(d), "digits": spelled_number(d)}
 
 
 def partial_sketch(docs: DataFrame, doc: str = "doc", budgets: Budgets = Budgets()) -> DataFrame:
@@ -108,8 +134,9 @@ def partial_sketch(docs: DataFrame, doc: str = "doc", budgets: Budgets = Budgets
                         met.clear()
             rows = [(spelled[p], k, *c, None) for (p, k), c in counts.items()] + [(spelled[p], None, 0, 0, None, None, None, None, 0, s) for p, s in sigs]
             cols = list(zip(*rows)) if rows else [[]] * 10
-            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.decimal128(38, 18), pa.decimal128(38, 18), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            fixed = [[None if x is None else x.quantize(Decimal(1).scaleb(-18)) if isinstance(x, Decimal) and t == types[4] else x for x in col] for col, t in zip(cols, types)]
+            bound = pa.struct([("rank", pa.string()), ("digits", pa.string())])
+            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), bound, bound, pa.string(), pa.string(), pa.int64(), pa.int64()]
+            fixed = [[_bound(x) for x in col] if t is bound else col for col, t in zip(cols, types)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(fixed, types)], names=["path", "kind", "n", "bytes", "low", "high", "first", "last", "cuts", "sig"])
 
     return docs.select(F.col(doc).alias("doc")).mapInArrow(run, _PARTIAL)
@@ -119,7 +146,7 @@ def merge_sketches(partials: DataFrame) -> DataFrame:
     """One row per path from partial sketches; merging is associative and commutative."""
     per_kind = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in KINDS]
     merged = partials.groupBy("path").agg(
-        F.sum("n").alias("observations"), F.sum("bytes").alias("total_bytes"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.sum("n").alias("observations"), F.sum("bytes").alias("total_bytes"), F.min("low")["digits"].alias("low"), F.max("high")["digits"].alias("high"),
         F.min("first").alias("first"), F.max("last").alias("last"), F.sum("cuts").alias("cuts"),
         F.coalesce(F.expr("theta_sketch_estimate(theta_sketch_agg(sig, 10))"), F.lit(0)).cast("long").alias("distinct"), *per_kind,
     )
@@ -151,7 +178,8 @@ def path_statistics(docs: DataFrame, doc: str = "doc", budgets: Budgets = Budget
     """Statistics of every collapsed path, the most observed `budgets.paths` of them, ties by path; in no order.
 
     Columns: path, observations (every node, so more than documents under `[*]`), nulls, histogram (kind, count; by count,
-    then name), dominant, stability, total_bytes, average_bytes, distinct (scalars but null), low and high (numbers), first
+    then name), dominant, stability, total_bytes, average_bytes, distinct (scalars but null), low and high (numbers of any
+    width, exact, as their digits), first
     and last (texts, byte order), cuts (containers the walk budgets cut short).
     """
     merged = merge_sketches(partial_sketch(docs, doc, budgets))
@@ -222,7 +250,7 @@ def infer_schema(docs: DataFrame, doc: str = "doc", budgets: Budgets = Budgets()
     rows = merged.orderBy(F.col("observations").desc(), "path").limit(budgets.paths).collect()
     merged.unpersist()
     models = [
-        PathModel(CatalogPath.parse(r.path), r.observations, r.nulls, {h.kind: h["count"] for h in r.histogram}, r.dominant, r.stability, r.total_bytes, r["distinct"], r.low, r.high, r["first"], r["last"], n)
+        PathModel(CatalogPath.parse(r.path), r.observations, r.nulls, {h.kind: h["count"] for h in r.histogram}, r.dominant, r.stability, r.total_bytes, r["distinct"], None if r.low is None else Decimal(r.low), None if r.high is None else Decimal(r.high), r["first"], r["last"], n)
         for r in rows
     ]
     return Schema(n, sorted(models, key=lambda m: m.path), max(0, total - budgets.paths))

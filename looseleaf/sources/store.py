@@ -1,8 +1,10 @@
 """A versioned document store on Parquet: segments listed by numbered manifests, each commit one new manifest.
 
 A segment is a Parquet directory of (key, seq, doc); a null doc is a tombstone. A manifest lists the live segments with their
-key and sequence ranges and is created without overwriting, so of two writers of one version one fails and data that no
-manifest lists is never read (a writer that dies leaves nothing visible). Readers hold a manifest and a sequence: a snapshot.
+key and sequence ranges. It is written under a name of its own and then linked (local disks) or renamed without overwriting
+(others; the file system must rename atomically, as HDFS does and plain object stores don't), so of two writers of one
+version one fails and data that no manifest lists is never read (a writer that dies leaves nothing visible). Readers hold a
+manifest and a sequence: a snapshot.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +101,7 @@ class Options:
 
     level0_segments: int = 4  # compaction starts beyond this many
     target_rows: int = 5_000_000  # rows per file of a compacted segment
+    pending_writes: int = 10_000  # puts and deletes held in memory before they are flushed
     observers: tuple[Callable[["DocumentStore", Segment], None], ...] = ()
 
 
@@ -118,7 +122,7 @@ class DocumentStore:
         self._open = True
         self.problems: list[str] = []
         self._fs.mkdirs(self._path("manifests"))
-        if self._latest() is None:
+        if not self._versions():
             self._write_manifest(Manifest(0, 0))
 
     # --- files ---
@@ -126,12 +130,17 @@ class DocumentStore:
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
 
-    def _versions(self) -> list[int]:
-        found = (s.getPath().getName() for s in self._fs.listStatus(self._path("manifests")))
-        return sorted(int(n[:-5]) for n in found if n.endswith(".json") and n[:-5].isdigit())
+    def names(self, *parts: str) -> list[str]:
+        """Names in a folder; none if there is no such folder."""
+        folder = self._path(*parts)
+        return [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
 
-    def _latest(self) -> int | None:
-        return max(self._versions(), default=None)
+    def _versions(self, folder: str = "manifests") -> list[int]:
+        return sorted(int(n[:-5]) for n in self.names(folder) if n.endswith(".json") and n[:-5].isdigit())
+
+    def _next(self) -> int:
+        """The version after the highest number seen, whether its manifest can be read or not."""
+        return max(self._versions()) + 1
 
     def _read_text(self, *parts: str) -> str:
         stream = self._fs.open(self._path(*parts))
@@ -140,15 +149,34 @@ class DocumentStore:
         finally:
             stream.close()
 
-    def _write_manifest(self, m: Manifest) -> None:
-        """The manifest under a name of its own, then renamed; a version that exists already is another writer's."""
-        temporary, final = self._path("manifests", f"{uuid.uuid4().hex}.tmp"), self._path("manifests", f"{m.version:012d}.json")
+    def commit_file(self, folder: str, number: int, text: str) -> None:
+        """A numbered file, whole or not at all; a number that exists already is another writer's."""
+        jvm = self.spark._jvm
+        self._fs.mkdirs(self._path(folder))
+        temporary, final = self._path(folder, f"{uuid.uuid4().hex}.tmp"), self._path(folder, f"{number:012d}.json")
         out = self._fs.create(temporary, False)
-        out.write(bytearray(json.dumps(asdict(m)).encode()))
+        out.write(bytearray(text.encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(temporary, final):
-            self._fs.delete(temporary, False)
-            raise Locked(f"version {m.version} was committed by another writer")
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                at = [jvm.java.io.File(self._fs.makeQualified(p).toUri().getPath()).toPath() for p in (final, temporary)]
+                jvm.java.nio.file.Files.createLink(*at)
+            else:
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+                rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+                options = self.spark.sparkContext._gateway.new_array(rename, 1)
+                options[0] = rename.NONE
+                context.rename(temporary, final, options)
+        except Py4JJavaError as e:
+            if "Exist" in e.java_exception.getClass().getName():
+                raise Locked(f"{folder} {number} was committed by another writer") from None
+            raise
+        finally:
+            if self._fs.exists(temporary):
+                self._fs.delete(temporary, False)
+
+    def _write_manifest(self, m: Manifest) -> None:
+        self.commit_file("manifests", m.version, json.dumps(asdict(m)))
 
     def manifest(self, version: int | None = None) -> Manifest:
         """The newest readable manifest, or the one of a version. Torn newest files are passed over and reported."""
@@ -170,12 +198,17 @@ class DocumentStore:
     # --- writing ---
 
     def put(self, key, json_text: str) -> None:
-        """One document, held until flush(); visible to this object's reads from then on."""
-        self._pending[as_key(key)] = json_text
+        """One document, held until flush() or until many are held; visible to this object's reads from then on."""
+        self._hold(key, json_text)
 
     def delete(self, key) -> None:
         """A tombstone; deleting an absent key is legal."""
-        self._pending[as_key(key)] = None
+        self._hold(key, None)
+
+    def _hold(self, key, json_text: str | None) -> None:
+        self._pending[as_key(key)] = json_text
+        if len(self._pending) >= self.options.pending_writes:
+            self.flush()
 
     def write(self, batch: WriteBatch) -> None:
         """All of a batch in one commit; an empty batch does nothing."""
@@ -184,21 +217,25 @@ class DocumentStore:
             self._pending |= dict(batch.ops)
             self.flush()
 
+    def _pending_rows(self) -> DataFrame:
+        """Pending writes (key, text); at most Options.pending_writes of them."""
+        return self.spark.createDataFrame([(bytearray(k), t) for k, t in sorted(self._pending.items())], "key binary, text string")
+
     def flush(self) -> None:
         """Pending writes as one sorted segment."""
         if not self._pending:
             return
-        rows = [(bytearray(k), t) for k, t in sorted(self._pending.items())]
-        made = self.spark.createDataFrame(rows, "key binary, text string").withColumn("ok", F.col("text").isNull() | V.strict_json(F.col("text")).isNotNull())
+        made = self._pending_rows().withColumn("ok", F.col("text").isNull() | V.strict_json(F.col("text")).isNotNull())
         if bad := made.filter("not ok").select("key").first():
             raise ValueError(f"not a JSON document under key {bytes(bad.key)!r}")
-        self.append(made.select("key", V.fast_json(F.col("text")).alias("doc")))
+        self.append(made.select("key", V.fast_json(F.col("text")).alias("doc")), unique=True)
         self._pending.clear()
 
-    def append(self, docs: DataFrame) -> Segment | None:
-        """Rows (key, doc) as one commit, null docs being deletes; keys must be unique among them.
+    def append(self, docs: DataFrame, unique: bool = False) -> Segment | None:
+        """Rows (key, doc) as one commit, null docs being deletes. ValueError for null or repeated keys; nothing is committed then.
 
-        Text keys become UTF-8 bytes. The rows are written as they are partitioned, sorted within each file.
+        Text keys become UTF-8 bytes. The rows are written as they are partitioned, sorted within each file. That keys are
+        unique is checked on the written keys alone (documents aren't shuffled); `unique` says that the caller knows it.
         """
         m = self.manifest()
         seq = m.sequence + 1
@@ -206,7 +243,12 @@ class DocumentStore:
         made = self._write_segment(rows.sortWithinPartitions("key"), 0)
         if made is None:
             return None
-        self._write_manifest(replace(m, version=m.version + 1, sequence=seq, segments=(*m.segments, made)))
+        if not unique:
+            again = self.read_segments([made.name]).groupBy("key").count().filter("key is null or count > 1").select("key").first()
+            if again is not None:
+                self._fs.delete(self._path("data", made.name), True)
+                raise ValueError(f"key {None if again.key is None else bytes(again.key)!r} is null or stands twice")
+        self._write_manifest(replace(m, version=self._next(), sequence=seq, segments=(*m.segments, made)))
         self._observe(made)
         return made
 
@@ -233,7 +275,7 @@ class DocumentStore:
 
     def delete_where(self, live: DataFrame) -> int:
         keys = live.select("key").withColumn("doc", F.expr("cast(null as variant)"))
-        made = self.append(keys)
+        made = self.append(keys, unique=True)
         return made.rows if made else 0
 
     def delete_range(self, first=None, last=None) -> int:
@@ -270,13 +312,17 @@ class DocumentStore:
         """(key, doc) of every live key in a range, both ends included; in key order unless `ordered` is False.
 
         Segments outside the range aren't opened; where the others don't overlap, no version is looked for elsewhere and
-        nothing is shuffled, else the newest version per key wins by a max aggregate combined before its shuffle.
+        nothing is shuffled, else the newest version per key wins by a max aggregate combined before its shuffle. Without a
+        snapshot, writes that this object still holds are merged in.
         """
         a, b = None if first is None else as_key(first), None if last is None else as_key(last)
         rows, twice = self.versions(snapshot, a, b)
         rows = in_range(rows, None if a is None else bytearray(a), None if b is None else bytearray(b))
         live = newest(rows) if twice else rows
         live = live.filter(F.col("doc").isNotNull()).select("key", "doc")
+        if snapshot is None and self._pending:
+            held = in_range(self._pending_rows(), None if a is None else bytearray(a), None if b is None else bytearray(b))
+            live = live.join(F.broadcast(held.select("key")), "key", "left_anti").unionByName(held.filter("text is not null").select("key", V.fast_json(F.col("text")).alias("doc")))
         return live.orderBy("key") if ordered else live
 
     def scan_prefix(self, prefix, snapshot: Snapshot | None = None, ordered: bool = True) -> DataFrame:
@@ -308,17 +354,32 @@ class DocumentStore:
         pinned = oldest is not None and oldest.sequence < m.sequence
         keep = _still_seen(rows, oldest.sequence) if pinned else newest(rows).filter(F.col("doc").isNotNull())
         parts = max(1, -(-sum(s.rows for s in m.segments) // self.options.target_rows))
+        return self._replace(m, m.segments, keep, parts, pinned)
+
+    def _replace(self, m: Manifest, old: tuple[Segment, ...], keep: DataFrame, parts: int, pinned: bool) -> Manifest:
         made = self._write_segment(keep.select("key", "seq", "doc").repartitionByRange(parts, "key").sortWithinPartitions("key", F.col("seq").desc()), 1, pinned)
-        new = replace(m, version=m.version + 1, segments=(made,) if made else ())
+        new = replace(m, version=self._next(), segments=(*(s for s in m.segments if s not in old), *([made] if made else [])))
         self._write_manifest(new)
         if made:
             self._observe(made)
         return new
 
     def maintain(self) -> Manifest:
-        """Compacts where enough segments have come up."""
+        """Where enough level-0 segments have come up, merges them with the level-1 segments whose keys they overlap.
+
+        Level-1 segments elsewhere stay as they are, so what is rewritten grows with what was written, not with the store.
+        All versions of a key in the merged range take part, hence tombstones may go.
+        """
         m = self.manifest()
-        return self.compact() if sum(s.level == 0 for s in m.segments) > self.options.level0_segments else m
+        fresh = [s for s in m.segments if s.level == 0]
+        if len(fresh) <= self.options.level0_segments:
+            return m
+        taken = list(fresh)
+        for s in m.segments:  # ranges of level 1 don't overlap one another
+            if s.level and any(s.may_hold(base64.b64decode(f.first), base64.b64decode(f.last)) for f in fresh):
+                taken.append(s)
+        rows = newest(self.read_segments([s.name for s in taken])).filter(F.col("doc").isNotNull())
+        return self._replace(m, tuple(taken), rows, max(1, -(-sum(s.rows for s in taken) // self.options.target_rows)), False)
 
     def vacuum(self, keep_versions: int = 1) -> int:
         """Deletes data that none of the newest manifests lists; how many directories. Older snapshots stop working."""
@@ -343,7 +404,7 @@ class DocumentStore:
         copy = jvm.org.apache.hadoop.fs.FileUtil.copy
         for s in self.manifest().segments:
             copy(self._fs, self._path("data", s.name), fs, jvm.org.apache.hadoop.fs.Path(f"{target}/data/{s.name}"), False, conf)
-        for extra in ("indexes", "manifests"):
+        for extra in ("indexes", "registry", "manifests"):
             if self._fs.exists(self._path(extra)):
                 copy(self._fs, self._path(extra), fs, jvm.org.apache.hadoop.fs.Path(f"{target}/{extra}"), False, conf)
         return DocumentStore(self.spark, target, self.options)

@@ -1,5 +1,6 @@
 import json
 from collections import Counter
+from decimal import Decimal
 
 import pytest
 from hypothesis import given, settings
@@ -25,7 +26,7 @@ def test_statistics(docs):
     got = {r.path: r for r in S.path_statistics(docs).collect()}
     assert set(got) == {"$", "$.a", "$.s", "$.m", "$.l", "$.l[*]", "$.o", "$.o.d"}
     assert got["$.l[*]"].observations == 80 and got["$.l[*]"].nulls == 40 and got["$.a"].distinct == 40 and got["$.s"].distinct == 3
-    assert got["$.a"].low == 0 and got["$.a"].high == 39 and got["$.s"]["first"] == "" and got["$.s"]["last"] == "xx" and got["$.o.d"].high == 9.75
+    assert got["$.a"].low == "0" and got["$.a"].high == "39" and got["$.s"]["first"] == "" and got["$.s"]["last"] == "xx" and got["$.o.d"].high == "9.75"
     assert {h.kind: h["count"] for h in got["$.m"].histogram} == dict(Counter("INTEGER" if i % 4 else "STRING" for i in range(40)))
     assert got["$.m"].dominant == "INTEGER" and got["$.m"].stability == 0.75
     assert got["$"].total_bytes >= got["$.a"].total_bytes + got["$.o"].total_bytes
@@ -82,3 +83,13 @@ def test_sets(spark):
 
 def test_predicted_rate():
     assert predicted_rate(1, 0.3, 0.4) == pytest.approx(0.0) and 0 < predicted_rate(4, 0.1, 0.1) < 1
+
+
+def test_numbers_of_any_width(spark):
+    numbers = [Decimal(x) for x in ("-1e300", "-12345678901234567890123456", "-1.57", "-1.5", "-2e-30", "0", "3e-30", "1", "1.05", "1.5", "15", "1700000000000", "99999999999999999999", "1234567890123456789012345", "1e300")]
+    assert [S.rank_of(x) for x in numbers] == sorted(S.rank_of(x) for x in numbers)
+    assert [Decimal(S.spelled_number(x)) for x in numbers] == numbers and S.rank_of(Decimal("1.50")) == S.rank_of(Decimal("1.5"))
+    docs = spark.createDataFrame([('{"t":1700000000000,"b":1234567890123456789012345,"h":1e300}',), ('{"t":1700000000001,"b":7,"h":-1e300}',)], "t string").select(V.fast_json(F.col("t")).alias("doc"))
+    m = S.infer_schema(docs)
+    assert (m.get("$.t").low, m.get("$.t").high) == (1700000000000, 1700000000001) and m.get("$.b").high == 1234567890123456789012345
+    assert (m.get("$.h").low, m.get("$.h").high) == (Decimal("-1e300"), Decimal("1e300"))

@@ -9,7 +9,7 @@ from looseleaf.operators import indexes
 from looseleaf.operators.predicates import path
 from looseleaf.operators.query import Projection, Query, successor
 from looseleaf.plans.planner import Engine
-from looseleaf.sources.store import Closed, DocumentStore, Locked, Options, StoreError, WriteBatch, as_key
+from looseleaf.sources.store import Closed, Corrupt, DocumentStore, Locked, Options, StoreError, WriteBatch, as_key
 from looseleaf.streaming.ingest import drain, ingest_lines
 
 
@@ -74,8 +74,18 @@ def test_gets_order_and_recovery(spark, tmp_path):
     (tmp_path / f"s/manifests/{version + 1:012d}.json").write_text("{")
     again = DocumentStore(spark, str(tmp_path / "s"))
     assert again.manifest().version == version and again.problems and "x" not in live(again)
+    again.append(spark.sql("select 'q' as key, parse_json('1') as doc"))  # writing goes on after it
+    assert again.manifest().version == version + 2 and "q" in live(again)
+    again.delete("q")
+    assert "q" not in live(again)  # before its flush
+    again.flush()
     with pytest.raises(Locked):
-        again.append(spark.sql("select 'q' as key, parse_json('1') as doc"))
+        again.commit_file("manifests", version + 2, "{}")
+    for keys in (["u", "u"], ["u", None]):
+        before = again.manifest()
+        with pytest.raises(ValueError):
+            again.append(spark.createDataFrame([(k, "1") for k in keys], "key string, t string").select("key", V.fast_json(F.col("t")).alias("doc")))
+        assert again.manifest() == before
     copy = store.checkpoint(str(tmp_path / "copy"))
     assert live(copy) == live(store)
     with pytest.raises(StoreError):
@@ -134,6 +144,11 @@ def test_indexes_never_change_answers(spark, tmp_path):
             indexes.Definition(*bad)
     assert reg.create(indexes.inverted("$.team"), build=False) == ids[0]
     reg.drop(ids[0])
+    (tmp_path / f"s/registry/{max(store._versions('registry')):012d}.json").rename(tmp_path / "aside")
+    (tmp_path / f"s/registry/{max(store._versions('registry')) + 1:012d}.json").write_text("{")
+    with pytest.raises(Corrupt):  # no id is handed out again
+        reg.create(indexes.inverted("$.other"))
+    (tmp_path / "aside").replace(tmp_path / f"s/registry/{max(store._versions('registry')):012d}.json")
     assert ids[0] not in reg.indexes() and reg.create(indexes.inverted("$.team"), build=False) > max(ids)
 
 
@@ -143,6 +158,7 @@ def test_streams(spark, tmp_path):
     store = DocumentStore(spark, str(tmp_path / "s"))
     counts = ingest_lines(spark, str(tmp_path / "in"), store, str(tmp_path / "cp"))
     assert sum(c["documents"] for c in counts) == 2 and sum(c["blank"] for c in counts) == 1 and sum(c["rejected"] for c in counts) == 1
+    assert [bytes(r.key).decode()[-20:] for r in store.scan().collect()] == ["a.jsonl:" + f"{i:012d}" for i in (0, 3)]
     (tmp_path / "in/b.jsonl").write_text('{"a":3}\n')
     counts = ingest_lines(spark, str(tmp_path / "in"), store, str(tmp_path / "cp"))
     assert sum(c["documents"] for c in counts) == 1 and store.scan(ordered=False).count() == 3
