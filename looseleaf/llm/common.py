@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,20 +23,38 @@ SLICE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's `spark.checkpoint.dir`, set here only where it is unset (tests)."""
+    """The folder all executors share: the session's `spark.checkpoint.dir`.
+
+    Where it is unset a temporary one is made on a local master (tests); on a cluster that is an error.
+    """
     jsc = spark.sparkContext._jsc.sc()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = jsc.getCheckpointDir()
+        if not known.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="looseleaf-")
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/looseleaf/{spark.sparkContext.applicationId}"
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Deletes what stored() wrote for this application; DataFrames that read it stop working."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/looseleaf/{uuid.uuid4().hex}"
+    """`df` written as Parquet in the shared folder and read again: cuts lineage and survives lost executors.
+
+    Results are lazy, so nothing is deleted here; clear_stored() does once they have been used.
+    """
+    path = f"{_own(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -71,8 +90,10 @@ def map_texts(
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text__"))
-    schema = T.StructType([*(f for f in kept.schema.fields if f.name != "__text__"), *new.fields])
+    names = [f"c{i}" for i in range(len(keep))]
+    kept = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(f"`{text_col}`").cast("string").alias("text"))
+    made_names = [f"n{i}" for i in range(len(new))]
+    schema = T.StructType([*kept.schema.fields[:-1], *(T.StructField(n, f.dataType, True) for n, f in zip(made_names, new))])
     arrow = to_arrow_schema(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,10 +104,10 @@ def map_texts(
                 made = work(texts.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k).slice(a, b - a) for k in range(len(keep))), *(made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in arrow)],
-                    names=[*keep, *arrow.names],
+                    names=[*names, *made_names],
                 )
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).toDF(*keep, *new.names)
 
 
 SPAN = T.StructType([field("kind", T.StringType()), field("start", T.LongType()), field("end", T.LongType())])

@@ -248,8 +248,10 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", g
     Of repeated rows (same id and text) one stays. Rows with a null id in a group that has ids go; where a group has
     null ids only, each distinct text stays. All columns stay as they are.
     """
-    key = {"__k1": F.xxhash64(f"`{id_col}`"), "__k2": F.xxhash64(f"`{text_col}`")}
-    names = list(df.columns)
-    groups = group(df.withColumns(key), id_col, text_col, extra=["__k1", "__k2"], **options)
-    stay = groups.filter(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).select("__k1", "__k2").distinct()
-    return df.withColumns(key).join(stay, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*[f"`{c}`" for c in names])
+    names = df.columns
+    at, text = names.index(id_col), names.index(text_col)
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    keyed = plain.withColumns({"k1": F.xxhash64(f"c{at}"), "k2": F.xxhash64(f"c{text}")})
+    groups = group(keyed, f"c{at}", f"c{text}", extra=["k1", "k2"], **options)
+    stay = groups.filter(F.col(f"c{at}").eqNullSafe(F.col("component_id"))).select("k1", "k2").distinct()
+    return keyed.join(stay, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).drop("k1", "k2").toDF(*names)

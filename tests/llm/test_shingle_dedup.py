@@ -51,13 +51,29 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("bucket", [64, 2])
-def test_groups_match_all_pairs(spark, bucket):
+def test_groups_match_all_pairs(spark):
     rows = corpus()
-    got = {r.doc_id: r.component_id for r in shingle_dedup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), bucket=bucket).collect()}
+    got = {r.doc_id: r.component_id for r in shingle_dedup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == plain_groups(rows)
 
 
+def test_a_key_cut_by_batches_stays_one(spark):
+    rows = [(k, s) for k in range(40) for s in range(1 + k % 7 * 11)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = shingle_dedup._proposed(spark.createDataFrame(rows, "key long, set long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.key, r.a, r.b) for r in got) == [(k, 0, s) for k, s in rows if k % 7]
+
+
+def test_clashing_names_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 10, "x"), (2, "A b c d e f", 20, "y"), (None, "q", 30, "z"), (1, "a b c d e f", 10, "x")], "id long, t string, k1 long, text_hash string")
+    got = simhash_dedup.one_of_each(df, "id", "t", group=shingle_dedup.similar_groups)
+    assert got.columns == df.columns and sorted(got.collect(), key=str) == [(1, "a b c d e f", 10, "x"), (None, "q", 30, "z")]
+    assert simhash_dedup.one_of_each(df.limit(0), "id", "t", group=shingle_dedup.similar_groups).count() == 0
+
+
 def test_stage_drops_edited_copies(spark):
     rows = [r for r in corpus() if r[1]]
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
