@@ -2,7 +2,8 @@
 
 Everything here is a Spark SQL expression over one row: no shuffle, no Python, no state. A kind's matches come from
 one pass of its expression; their places come from splitting the text at the same expression and adding up lengths,
-since Spark has no function that returns positions. The expressions are written so that they run in linear time
+since Spark has no function that returns positions. A match's surroundings are read from short pieces of the text, so time
+is near linear in the text and in its matches. The expressions are written so that they run in linear time
 (possessive repeats, and starts only at a run's first character or right after the previous match) and still find
 exactly the leftmost non-overlapping matches of the plain form given beside each.
 """
@@ -65,6 +66,7 @@ KINDS = [
 #: Code points on either side of a span in which context words count, and what one adds to its score.
 CONTEXT, BONUS = 40, 0.3
 _BLOCK = 256
+_PIECE = 256
 
 
 def _sql_text(s: str) -> str:
@@ -89,34 +91,44 @@ def pii_spans(df: DataFrame, id_cols: list[str] | None = None, text_col: str = "
     """
     kinds = KINDS if kinds is None else kinds
     ids = id_cols or ["doc_id"]
-    at = df.select(*[F.col(f"`{c}`") for c in ids], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__t"))
-    digits = F.col("__t").rlike("[0-9]")
-    at = at.withColumn("__d", digits)
+    names = [f"c{i}" for i in range(len(ids))]
+    at = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(ids, names)], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
+    at = at.withColumn("digits", F.col("t").rlike("[0-9]"))
     none = F.array().cast("array<string>")
     for k in kinds:
-        needs = F.col("__d") if k.needs == "[0-9]" else F.col("__t").contains(k.needs)
+        needs = F.col("digits") if k.needs == "[0-9]" else F.col("t").contains(k.needs)
         if k.name != "email":
-            needs = F.col("__d") & needs
-        at = at.withColumn(f"__m_{k.name}", F.when(needs, F.regexp_extract_all("__t", F.lit(k.pattern), F.lit(0))).otherwise(none))
+            needs = F.col("digits") & needs
+        at = at.withColumn(f"m_{k.name}", F.when(needs, F.regexp_extract_all("t", F.lit(k.pattern), F.lit(0))).otherwise(none))
+    matched = F.expr(" or ".join(f"size(m_{k.name}) > 0" for k in kinds))
+    # Pieces of _PIECE code points each, for looking at a match's surroundings without counting from the text's start.
+    at = at.withColumn("pieces", F.when(matched, F.regexp_extract_all("t", F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))).otherwise(none))
     for k in kinds:
-        # Lengths between the matches and of the matches before: their running total is each match's start.
-        steps = (
-            f"transform(__m_{k.name}, (m, i) -> bigint(length(element_at(__g_{k.name}, i + 1)) + if(i = 0, 0, length(element_at(__m_{k.name}, i)))))"
-        )
-        at = at.withColumn(f"__g_{k.name}", F.when(F.size(f"__m_{k.name}") > 0, F.split("__t", k.pattern, -1)).otherwise(none))
-        at = at.withColumn(f"__s_{k.name}", F.expr(f"if(size(__m_{k.name}) > 0, {steps}, cast(array() as array<bigint>))"))
+        # Length between the matches and of the match before: their running total is each match's start. The arrays are walked
+        # side by side, never indexed: the optimizer may put the split here, and must not do so once a match.
+        gaps = f"split(t, {_sql_text(k.pattern)}, -1)"
+        m = f"m_{k.name}"
+        steps = f"zip_with(slice({gaps}, 1, size({m})), concat(array(''), slice({m}, 1, size({m}) - 1)), (g, m) -> bigint(length(g) + length(m)))"
+        at = at.withColumn(f"s_{k.name}", F.expr(f"if(size({m}) > 0, {steps}, cast(array() as array<bigint>))"))
     typed = "array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double>>"
     parts = []
     for rank, k in enumerate(kinds):
-        starts = _prefix_sums(f"__s_{k.name}")
-        zipped = f"zip_with(__m_{k.name}, {starts}, (m, s) -> struct(m, s))"
+        starts = _prefix_sums(f"s_{k.name}")
+        zipped = f"zip_with(m_{k.name}, {starts}, (m, s) -> struct(m, s))"
         sure = f"filter({zipped}, z -> {re.sub(r'\bm\b', 'z.m', k.check)})" if k.check else zipped
-        around = f"lower(substring(__t, int(greatest(z.s - {CONTEXT}, 0) + 1), int(z.s - greatest(z.s - {CONTEXT}, 0))) || ' ' || substring(__t, int(z.s + length(z.m) + 1), {CONTEXT}))"
+        begin, end = f"greatest(z.s - {CONTEXT}, 0)", "(z.s + length(z.m))"
+        around = f"lower({_stretch(begin, f'z.s - {begin}')} || ' ' || {_stretch(end, str(CONTEXT))})"
         score = f"round(least(1.0D, {k.score}D + if({around} rlike {_sql_text(rf'(?<![a-z])(?:{k.words})(?![a-z])')}, {BONUS}D, 0.0D)), 3)"
         made = f"transform({sure}, z -> named_struct('start', z.s, 'rank', {rank}, 'end', z.s + length(z.m), 'kind', '{k.name}', 'score', {score}))"
-        parts.append(f"if(size(__m_{k.name}) > 0, filter({made}, x -> x.score >= {k.least}D), cast(array() as {typed}))")
+        parts.append(f"if(size(m_{k.name}) > 0, filter({made}, x -> x.score >= {k.least}D), cast(array() as {typed}))")
     spans = f"transform(array_sort(concat({', '.join(parts)})), x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'score', x.score))"
-    return at.select(*[f"`{c}`" for c in ids], F.expr(spans).alias(spans_col))
+    return at.select(*[F.col(n).alias(c) for c, n in zip(ids, names)], F.expr(spans).alias(spans_col))
+
+
+def _stretch(begin: str, length: str) -> str:
+    """Up to CONTEXT code points of the text from `begin` (from 0), out of at most two pieces."""
+    piece = lambda add: f"coalesce(try_element_at(pieces, int({begin} div {_PIECE}) + {add}), '')"
+    return f"substring({piece(1)} || {piece(2)}, int({begin} % {_PIECE}) + 1, int({length}))"
 
 
 def masked_text(text: Column, spans: Column) -> Column:
