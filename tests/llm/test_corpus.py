@@ -5,6 +5,7 @@ import collections
 import gzip
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -134,9 +135,7 @@ def test_spans_map_back_exactly_and_cycles_end():
     (span,) = secret_scan.scan_text(t)
     assert span == ("url>access", 4, t.index(" now"))
     assert secret_scan.scan_text("%2525" * 50) == [] and secret_scan.scan_text("\\u005cu0041 %25") == []
-    bomb = base64.b64encode(gzip.compress(b"a" * 5_000_000)).decode()
-    assert secret_scan.scan_text(bomb, limit=1 << 20)[0][0] == "oversize"
-    assert secret_scan._masked("a token=abcdefgh b", "[S]", 1 << 20) == "a [S] b"
+    assert secret_scan._masked("a token=abcdefgh b", "[S]") == "a [S] b"
 
 
 def test_redaction_keeps_rows_and_columns(docs):
@@ -445,6 +444,19 @@ def test_pii_matches_brute_force(spark, docs, nothing):
     assert pii.pii_spans(nothing).count() == 0 and pii.pii_spans(docs).count() == docs.count()
 
 
+def test_pii_of_many_matches_in_one_text(spark):
+    text = " ".join(f"ü mail u{i}@ex.org or 10.0.{i % 300}.7 4111 1111 1111 {1000 + i % 9000} +49 (30) 1234{i:05d}" for i in range(30_000))
+    df = spark.createDataFrame([(1, text, "x", True)], "doc_id long, text string, t string, digits boolean")
+    began = time.monotonic()
+    got = pii.pii_spans(df).first().spans
+    assert time.monotonic() - began < 60
+    assert [(s.kind, s.start, s.end) for s in got if s.kind in pii.BASE_KINDS] == brute.pii(text)
+    for s in got[:200] + got[-200:]:
+        k = next(k for k in pii.KINDS if k.name == s.kind)
+        around = (text[max(s.start - pii.CONTEXT, 0) : s.start] + " " + text[s.end : s.end + pii.CONTEXT]).lower()
+        assert s.score == round(min(1.0, k.score + (pii.BONUS if re.search(rf"(?<![a-z])(?:{k.words})(?![a-z])", around) else 0)), 3)
+
+
 def test_checksums_context_and_masking(spark):
     rows = [(1, "My IBAN is GB82 WEST 1234 5698 7654 32."), (2, "Not GB82 WEST 1234 5698 7654 33."), (3, "social security 078-05-1120"), (4, "part 078-05-1120"), (5, "mail me@x.org, me@x.org"), (6, None), (7, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -12,7 +12,7 @@ from looseleaf.llm import secret_scan
 def hidden(text, *secrets):
     """Whether the mask takes away what encodes each secret, and the spans."""
     spans = secret_scan.scan_text(text)
-    return spans, secret_scan._masked(text, "[S]", 1 << 20)
+    return spans, secret_scan._masked(text, "[S]")
 
 
 @pytest.mark.parametrize("stray", ["caf%E9 ... ", "rose 20%decline; ", "a%00b ", "%C3 %A9 ", "%ff%fe", "\x01 "])
@@ -88,3 +88,56 @@ def test_long_runs_stay_linear():
     began = time.perf_counter()
     secret_scan.scan_text(base64.b64encode(data).decode())
     assert time.perf_counter() - began < 30
+
+
+SECRET = "x password=hunter2hunter2 y"
+
+
+def raw(data):
+    c = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return c.compress(data) + c.flush()
+
+
+@pytest.mark.parametrize("data, name", [
+    (SECRET.encode("utf-16-le"), "base64>assign"), (SECRET.encode("utf-16-be"), "base64>assign"), (SECRET.encode("utf-16"), "base64>assign"),
+    (b"ab\x00cd " + SECRET.encode(), "base64>assign"), (b"\xff\xfa\x80" * 5 + SECRET.encode() + b"\x00\x01", "base64>assign"),
+    (raw((SECRET + " and more of it").encode()), "base64>inflate>assign"), (gzip.compress(SECRET.encode("utf-16-le")), "base64>inflate>assign"),
+    (gzip.compress(b"\x00\x01\x02 " + SECRET.encode()), "base64>inflate>assign"), (gzip.compress(b"first member ") + gzip.compress(SECRET.encode()), "base64>inflate>assign"),
+    (gzip.compress(SECRET.encode() * 50)[:-12], "base64>inflate>assign"),
+])
+def test_payloads_that_are_not_plain_text(data, name):
+    token = base64.b64encode(data).decode()
+    spans, masked = hidden(f"é see {token} end")
+    assert name in {s[0] for s in spans} and token not in masked, spans
+    assert all(6 <= a < b <= 6 + len(token) for _, a, b in spans)
+
+
+def test_payload_compressed_a_hundred_times():
+    data = SECRET.encode()
+    for k in range(100):
+        data = (gzip.compress if k % 2 else zlib.compress)(data)
+    assert [s[0] for s in secret_scan.scan_text(base64.b64encode(data).decode())] == ["base64>inflate>assign"]
+
+
+def test_large_inflations_are_scanned_in_bounded_memory():
+    import tracemalloc
+
+    c = zlib.compressobj(9, zlib.DEFLATED, 31)
+    packed = b"".join(c.compress(b"line of no interest\n" * 50_000) for _ in range(100)) + c.compress(SECRET.encode() + b" and the rest" * 100_000) + c.flush()
+    token = base64.b64encode(packed).decode()
+    tracemalloc.start()
+    spans = secret_scan.scan_text(f"a {token} b")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ("base64>inflate>assign", 2, 2 + len(token)) in spans and peak < 120 << 20
+    twice = base64.b64encode(gzip.compress(packed)).decode()
+    assert "base64>inflate>assign" in {s[0] for s in secret_scan.scan_text(twice)}
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    text = "\n".join(f"pass%77ord%3Dhunter{k:06d} token=abcdef{k:06d}" for k in range(8000))
+    began = time.perf_counter()
+    assert len(secret_scan.scan_text(text)) == 16000
+    assert time.perf_counter() - began < 10
