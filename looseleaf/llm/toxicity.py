@@ -1,19 +1,23 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-The kernel of two words sums, over common three-letter subsequences with gaps (within SPAN letters, word edges included),
-the product of their weights DECAY ** gaps, over both words' lengths; inserted characters lower a value but don't void
-it, so `id.iot` and `idxiot` stay near `idiot`. Words are mapped by Nyström features over landmark words (the kernel to
-each landmark times the inverse root of the landmarks' own kernel matrix), and a linear machine separates them. A
-sentence's margin is that of its worst word and a text's that of its worst sentence: labels belong to whole texts, so
-training alternates between picking each toxic text's witness words and fitting (multiple-instance learning), with the
-words of other texts, the closest ones first, as negatives. A logistic curve turns margins into scores.
-
-A linear machine over Nyström features is a sum over landmarks, and so one weight per subsequence: scoring a word costs
+The kernel of two strings sums, over common three-letter subsequences with gaps (within SPAN letters, edges included),
+the product of their weights DECAY ** gaps, over both strings' lengths; inserted characters lower a value but don't void
+it, so `id.iot` and `idxiot` stay near `idiot`. Strings are a sentence's words, letters set apart by blanks (`i d i o t`)
+drawn together, and phrases of two neighbouring words, whose blank is a character that may be skipped like any other. They
+are mapped by Nyström features over landmark strings (the kernel to each landmark times the inverse root of the landmarks'
+own kernel matrix), and a linear machine separates them. A sentence's margin is that of its worst string and a text's that
+of its worst sentence: labels belong to whole texts, so training alternates between picking each toxic text's witnesses
+and fitting (multiple-instance learning), with the strings of other texts, the closest ones first, as negatives. A string
+is a witness by its rates: clearly more frequent in toxic texts than in others, so a mislabelled or quoting text doesn't
+clear it. A logistic curve turns margins into scores.
+
+A linear machine over Nyström features is a sum over landmarks, and so one weight per subsequence: scoring a string costs
 time in its length alone. Training takes a bounded sample of labelled rows; scoring reads every text whole.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -21,14 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, map_texts
+from .common import field, map_texts, stored
 from .language_id import fold
 from .linear_svm import fit, platt, sigmoid
 
 SPAN, DECAY, BITS = 6, 0.7, 18
 LANDMARKS = 320
-#: Most labelled texts of each class that training takes, and most distinct words taken from one of them.
-PER_CLASS = 1000
+#: Most labelled texts of each class that training takes (about), and most phrases it learns.
+PER_CLASS, PHRASES = 1500, 200
+#: How many times as frequent in toxic texts a witness must be, and how unlikely by chance (a likelihood ratio).
+RATIO, SURE = 4.0, 12.0
 _PAIRS = [(j, k, DECAY ** (k - 2)) for k in range(2, SPAN) for j in range(1, k)]
 _MAX_WORDS = 300_000
 
@@ -40,9 +46,37 @@ _CLEAN = bytes(
 )
 
 
+_APART = re.compile(rb"(?<![^ ])[a-z](?: +[a-z]){2,}(?![^ ])")
+_BANG = re.compile(rb"(?<=[A-Za-z])!(?=[A-Za-z])")
+_SENTENCE = re.compile(rb"[.!?]+[ \t\r\n]+|\n+")
+
+
+def cleaned(text: bytes) -> bytes:
+    """A text's normalised words, set apart by blanks; `!` between letters is an i."""
+    return _BANG.sub(b"i", text).translate(_CLEAN, _INSIDE)
+
+
 def words_in(text: bytes) -> set[bytes]:
-    """Distinct normalised words of a text."""
-    return set(text.translate(_CLEAN, _INSIDE).split())
+    """Distinct normalised words of a text, and letters set apart by blanks drawn together."""
+    clean = cleaned(text)
+    words = set(clean.split())
+    if any(len(w) == 1 for w in words):
+        words.update(m.group().replace(b" ", b"") for m in _APART.finditer(clean))
+    return words
+
+
+def phrases_in(text: bytes, known: dict[bytes, set[bytes]] | None = None) -> set[bytes]:
+    """Pairs of neighbouring words of each sentence; with `known` (first word -> second words) only those."""
+    out = set()
+    if known is not None and not known:
+        return out
+    for sentence in _SENTENCE.split(text):
+        words = cleaned(sentence).split()
+        if known is None:
+            out.update(map(b" ".join, zip(words, words[1:])))
+        elif not known.keys().isdisjoint(words):
+            out.update(a + b" " + b for a, b in zip(words, words[1:]) if a in known and b in known[a])
+    return out
 
 
 def subsequences(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,8 +130,8 @@ class Landmarks:
 class ToxicityModel:
     """Weights per subsequence, an offset, and the curve from margins to scores."""
 
-    def __init__(self, weights: np.ndarray, offset: float, slope: float, shift: float):
-        self.weights, self.offset, self.slope, self.shift = weights, offset, slope, shift
+    def __init__(self, weights: np.ndarray, offset: float, slope: float, shift: float, phrases: dict[bytes, set[bytes]] | None = None):
+        self.weights, self.offset, self.slope, self.shift, self.phrases = weights, offset, slope, shift, phrases or {}
         self.known: dict[bytes, float] = {}
 
     def __getstate__(self):
@@ -112,8 +146,8 @@ class ToxicityModel:
         return out + self.offset
 
     def margin(self, texts: list[bytes | None]) -> list[float]:
-        """Worst word's margin of each text; that of no resemblance at all without a word."""
-        sets = [words_in(t) if t else set() for t in texts]
+        """Worst string's margin of each text; that of no resemblance at all without a word."""
+        sets = [words_in(t) | phrases_in(t, self.phrases) if t else set() for t in texts]
         if len(self.known) > _MAX_WORDS:
             self.known.clear()
         new = list(set().union(*sets) - self.known.keys()) if sets else []
@@ -138,42 +172,80 @@ def _varied(words: list[bytes], seed: int) -> list[bytes]:
     return list(dict.fromkeys(out))
 
 
-def train_on(bags: list[set[bytes]], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 3) -> ToxicityModel:
-    """A model from texts' word sets and their labels (1: toxic). Deterministic; all-negative scores without both classes."""
-    # Copies of one text would pass for evidence: of texts with the same least word hashes one stays.
-    seen, kept = set(), []
+def _telling(pos: Counter, neg: Counter, n_pos: int, n_neg: int) -> dict[bytes, float]:
+    """Strings clearly more frequent in toxic texts, with how sure that is."""
+    out = {}
+    for w, a in pos.items():
+        b = neg.get(w, 0)
+        if a < 2 or a * n_neg < RATIO * b * n_pos:
+            continue
+        all_ = n_pos + n_neg
+        g = 2 * (a * np.log(a * all_ / ((a + b) * n_pos)) + (b * np.log(b * all_ / ((a + b) * n_neg)) if b else 0.0))
+        if g >= SURE:
+            out[w] = g
+    return out
+
+
+def _without_copies(bags: list[set[bytes]], labels: list[int]) -> list[tuple[set[bytes], int]]:
+    """Of bags of one label that share most words the first: copies of one text would pass for evidence."""
+    rng = np.random.Generator(np.random.PCG64(3))
+    times = rng.integers(0, 1 << 63, 16, np.uint64) | np.uint64(1)
+    met: dict[tuple, int] = {}
+    kept = []
     for bag, y in zip(bags, labels):
-        mark = (y, tuple(sorted(bag, key=lambda w: hash_of(w))[:6]))
-        if bag and mark not in seen:
-            seen.add(mark)
+        words = [w for w in bag if b" " not in w]
+        if not words:
+            continue
+        low = (np.fromiter(map(hash_of, words), np.uint64, len(words))[:, None] * times).min(axis=0)
+        keys = [(y, k, *low[4 * k : 4 * k + 4].tolist()) for k in range(4)]
+        if not any(k in met and 5 * len(bag & kept[met[k]][0]) >= 3 * max(len(bag), len(kept[met[k]][0])) for k in keys):
+            for k in keys:
+                met.setdefault(k, len(kept))
             kept.append((bag, y))
+    return kept
+
+
+def train_on(bags: list[set[bytes]], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 3) -> ToxicityModel:
+    """A model from texts' words and phrases and their labels (1: toxic). Deterministic; all-negative scores where nothing tells the classes apart."""
+    kept = _without_copies(bags, labels)
     toxic, clean = [b for b, y in kept if y], [b for b, y in kept if not y]
     empty = ToxicityModel(np.zeros(1 << BITS), -1.0, 2.0, -2.0)
     if not toxic or not clean:
         return empty
     pos, neg = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
-    scale = len(toxic) / len(clean)
-    lift = {w: n * np.log((n + 0.5) / (neg[w] * scale + 0.5)) for w, n in pos.items()}
-    witness = [max(sorted(b), key=lift.get) for b in toxic]
-    by_count = sorted(neg, key=lambda w: (-neg[w], w))
+    telling = _telling(pos, neg, len(toxic), len(clean))
+    words = {w for w in telling if b" " not in w}
+    # A phrase counts where it tells more than its words do.
+    pairs = sorted((p for p in telling if b" " in p and words.isdisjoint(p.split(b" "))), key=lambda p: (-telling[p], p))[:PHRASES]
+    phrases: dict[bytes, set[bytes]] = {}
+    for p in pairs:
+        phrases.setdefault(p.split(b" ")[0], set()).add(p.split(b" ")[1])
+    # Other phrases stay out of the bags, but for some of clean texts that share a word with one: they are negatives.
+    near = {w for p in pairs for w in p.split(b" ")}
+    beside = [p for p, _ in sorted(neg.items(), key=lambda x: (-x[1], x[0])) if b" " in p and p not in telling and not near.isdisjoint(p.split(b" "))][:3000]
+    own = words | set(pairs)
+    toxic, clean = ([{w for w in b if b" " not in w or w in own} for b in group] for group in (toxic, clean))
+    neg = Counter({w: n for w, n in neg.items() if b" " not in w})
+    if not own:
+        return empty
+    witness = [max(sorted(b), key=lambda w: telling.get(w, 0.0)) for b in toxic if not own.isdisjoint(b)]
+    by_count = sorted((w for w in neg if w not in own), key=lambda w: (-neg[w], w))
     rng = np.random.Generator(np.random.PCG64(11))
     some = [by_count[i] for i in sorted(rng.choice(len(by_count), min(9000, len(by_count)), replace=False))]
-    negatives = list(dict.fromkeys(by_count[:2500] + some))
+    negatives = list(dict.fromkeys(by_count[:2500] + some + beside))
+    vocabulary = sorted(set().union(*toxic, *clean))
     model = empty
     for turn in range(rounds):
-        found = Counter(witness)
-        # A witness is evidence where several texts share it, or where the machine found it; words of clean texts aren't.
-        positives = [w for w, n in found.most_common() if not neg[w] and (n > 1 or turn)]
-        if turn:  # all words of toxic texts on the toxic side of the machine, never met in clean texts
-            words = [w for w in pos if not neg[w] and pos[w] > 1]
-            positives = list(dict.fromkeys(positives + [w for w, m in zip(words, model.margins(words)) if m > 0.3]))
-        if not positives:
-            return empty
-        varied = [w for w in _varied(positives, 5) if not neg[w]]
+        found = Counter(w for w in witness if w in own)
+        positives = [w for w, _ in found.most_common()]
+        if turn:  # all telling strings on the toxic side of the machine
+            rest = sorted(own)
+            positives = list(dict.fromkeys(positives + [w for w, m in zip(rest, model.margins(rest)) if m > 0.0]))
+        varied = [w for w in _varied(positives, 5) if neg.get(w, 0) == 0]
         marks = list(dict.fromkeys(positives[: landmarks // 2] + negatives[: landmarks // 2]))
         land = Landmarks(marks)
-        own = land.kernel(marks).astype(np.float64)
-        value, vector = np.linalg.eigh((own + own.T) / 2)
+        between = land.kernel(marks).astype(np.float64)
+        value, vector = np.linalg.eigh((between + between.T) / 2)
         good = value > 1e-4 * value[-1]
         root = vector[:, good] / np.sqrt(value[good])
         items = positives + varied + negatives
@@ -185,15 +257,14 @@ def train_on(bags: list[set[bytes]], labels: list[int], landmarks: int = LANDMAR
         beta = root @ w
         rows, keys, values = subsequences(marks)
         weights = np.bincount(keys, beta[rows] * values, 1 << BITS)
-        model = ToxicityModel(weights, b, 2.0, 0.0)
-        witness = [max(sorted(bag), key=dict(zip(sorted(bag), model.margins(sorted(bag)))).get) for bag in toxic]
-        everything = list(neg)
-        margin = model.margins(everything)
-        hard = [everything[i] for i in np.argsort(-margin, kind="stable")[:4000]]
+        model = ToxicityModel(weights, b, 2.0, 0.0, phrases)
+        margin_of = dict(zip(vocabulary, model.margins(vocabulary).tolist()))
+        witness = [max(bag, key=lambda w: (margin_of[w], w)) for bag in toxic]
+        hard = sorted((w for w in neg if w not in own), key=lambda w: (-margin_of[w], w))[:4000]
         negatives = list(dict.fromkeys(hard[: landmarks // 4] + by_count[: landmarks // 4] + hard + negatives))
-    worst = np.array([model.margins(sorted(b)).max() for b in toxic + clean])
+    worst = np.array([max(map(margin_of.__getitem__, b)) for b in toxic + clean])
     slope, shift = platt(worst, np.array([1.0] * len(toxic) + [0.0] * len(clean)))
-    return ToxicityModel(model.weights.astype(np.float32), model.offset, slope, shift)
+    return ToxicityModel(model.weights.astype(np.float32), model.offset, slope, shift, phrases)
 
 
 def hash_of(word: bytes) -> int:
@@ -206,7 +277,8 @@ def train(texts: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from texts joined with their labels (null ids, texts and labels teach nothing).
 
     At most about 1.5 * `per_class` labelled texts of each class, those with the least id hashes, are read for it: their
-    ids are few, so they are broadcast; their distinct words are what reaches the driver.
+    ids are few, so they are broadcast; their distinct words and phrases are what reaches the driver. Of an id's several
+    texts the one with the least hash is taken, so repeated rows don't add to the sample.
     """
     told = labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("i is not null and y is not null")
     told = told.groupBy("i").agg(F.max("y").alias("y"))
@@ -216,14 +288,28 @@ def train(texts: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for y in (0, 1):
         part = told.filter((F.col("y") == y) & (u < min(1.0, 1.5 * per_class / max(counts.get(y, 0), 1))))
         chosen = part if chosen is None else chosen.unionAll(part)
-    named = texts.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).filter("t is not null")
-    sample = named.join(F.broadcast(chosen), "i")
+    named = texts.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).filter("t is not null")
+    sample = stored(named.join(F.broadcast(chosen), "i").groupBy("i").agg(F.min_by("t", F.xxhash64("t")).alias("t"), F.max("y").alias("y")))
+    # Phrases are counted where the texts are; only those that may tell, and some beside them, reach the driver.
+    array = T.StructType([field("p", T.ArrayType(T.BinaryType()))])
+    each = map_texts(sample, ["y"], "t", array, lambda: lambda made: {"p": [sorted(phrases_in(t)) for t in made]}).select("y", F.explode("p").alias("p"))
+    total = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    counted = each.groupBy("p").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b")).persist()
+    often = counted.filter((F.col("a") >= 3) & (F.col("a") * total.get(0, 0) >= RATIO * F.col("b") * total.get(1, 0))).orderBy(F.desc("a"), "b", "p").limit(10 * PHRASES)
+    keep = {bytes(r["p"]) for r in often.collect()}
+    near = sorted({w for p in keep for w in p.split(b" ")})
+    if near:
+        shared = counted.filter("b > 1").withColumn("w", F.split(F.decode("p", "utf-8"), " ")).filter(F.arrays_overlap("w", F.array(*[F.lit(w.decode("utf-8", "replace")) for w in near])))
+        keep |= {bytes(r["p"]) for r in shared.orderBy(F.desc("b"), "p").limit(3000).collect()}
+    counted.unpersist()
 
     def start():
-        return lambda made: {"words": [sorted(words_in(t)) for t in made]}
+        return lambda made: {"words": [sorted(words_in(t) | (phrases_in(t) & keep if keep else set())) for t in made]}
 
     rows = map_texts(sample, ["i", "y"], "t", T.StructType([field("words", T.ArrayType(T.BinaryType()))]), start).toLocalIterator()
-    got = sorted(((r["i"], r["y"], frozenset(bytes(w) for w in r["words"])) for r in rows), key=lambda r: (r[0], r[1], sorted(r[2])))
+    # One object a string: texts share most of their words.
+    known: dict[bytes, bytes] = {}
+    got = sorted(((r["i"], r["y"], frozenset(known.setdefault(w, w) for w in map(bytes, r["words"]))) for r in rows), key=lambda r: (r[0], r[1]))
     return train_on([set(r[2]) for r in got], [r[1] for r in got], landmarks)
 
 
