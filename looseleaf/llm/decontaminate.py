@@ -5,9 +5,12 @@ weighted five-word shingles) and compared with it. A multi-index over eight 8-bi
 within RADIUS = 23 bits differ in at most 2 bits of some block (pigeonhole), so a block table of all bytes within 2 bits
 of an item's byte misses none. The weighted Jaccard similarity of the shingles then decides exactly.
 
-Only windows that hold one of the item shingles at all are fingerprinted: a window without has similarity 0 with every
-item, so nothing is lost. Items are the stated query set: they go to the tasks in blocks of bounded size, and every
-document is read whole against each block.
+A window at 0.8 shares at least 0.8 of an item's weight, so it holds one of any of its shingles that together weigh more
+than the other 0.2. The rarest such shingles among the items are its anchors: only windows with an anchor of an item are
+fingerprinted and compared with it, and none at 0.8 is lost by that. (The Hamming blocks alone would let most random pairs
+through: two bytes of 8 bits are within 2 of each other in one of 7 cases, and any of eight blocks suffices.)
+Items are the stated query set: they go to the tasks in blocks of bounded size, and every document is read whole against
+each block; with several blocks each one's hits are written before the next is fetched.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, filter_texts, map_texts
+from .common import field, filter_texts, map_texts, stored
 from .license_scan import words_of
 
 SHINGLE = 5
@@ -87,11 +90,11 @@ class Item:
 class ItemIndex:
     """A block of items: their shingles, and per window size their fingerprints with the Hamming block tables."""
 
-    def __init__(self, items: list[tuple[object, bytes]]):
+    def __init__(self, items: list[tuple[object, bytes]], similarity: float = SIMILARITY):
+        self.similarity = similarity
         self.hashes = WordHashes()
         self.items: list[Item] = []
         prints: dict[int, list[tuple[int, int]]] = {}
-        everything = []
         for item_id, text in items:
             words = words_of(text)
             if not words:
@@ -105,8 +108,7 @@ class ItemIndex:
             fp = int(_packed((_bits(sh) * w[:, None]).sum(axis=0)[None, :])[0])
             prints.setdefault(len(words), []).append((len(self.items), fp))
             self.items.append(Item(item_id, len(words), counts, weights, float(w.sum())))
-            everything.append(sh)
-        self.shingles = np.unique(np.concatenate(everything)) if everything else np.empty(0, np.uint64)
+        self._choose_anchors()
         self.short = any(i.n_words < SHINGLE for i in self.items)
         near = [np.array([v for v in range(256) if bin(v ^ x).count("1") <= RADIUS // BLOCKS]) for x in range(256)]
         self.by_size: dict[int, tuple[list[int], np.ndarray, np.ndarray]] = {}
@@ -117,18 +119,41 @@ class ItemIndex:
                     tables[b, near[fp >> 8 * b & 255], k] = True
             self.by_size[n] = ([k for k, _ in group], np.array([fp for _, fp in group], np.uint64), tables)
 
-    def candidates(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window row, place in the size's group) of all fingerprints within RADIUS, through the block tables."""
+        self.place = {k: (n, col) for n, (group, _, _) in self.by_size.items() for col, k in enumerate(group)}
+
+    def _choose_anchors(self) -> None:
+        """Sorted anchor shingles, and the items of each (`owners[first[i]:first[i + 1]]`)."""
+        common: dict[int, int] = {}
+        for i in self.items:
+            for s in i.counts:
+                common[s] = common.get(s, 0) + 1
+        owned: dict[int, list[int]] = {}
+        for k, i in enumerate(self.items):
+            weight = 0.0
+            for s in sorted(i.counts, key=lambda s: (common[s], s)):
+                owned.setdefault(s, []).append(k)
+                weight += i.counts[s] * i.weights[s]
+                if weight > (1 - self.similarity) * i.total * (1 + 1e-9):
+                    break
+        keys = sorted(owned)
+        self.shingles = np.array(keys, np.uint64)
+        self.owners = np.array([k for s in keys for k in owned[s]], np.int64)
+        self.first = np.concatenate([[0], np.cumsum([len(owned[s]) for s in keys])]).astype(np.int64)
+
+    def candidates(self, prints: np.ndarray, item: int) -> np.ndarray:
+        """Rows of all fingerprints within RADIUS of an item's, through the block tables."""
+        size, col = self.place[item]
         _, own, tables = self.by_size[size]
-        hit = np.zeros((len(prints), len(own)), bool)
+        hit = np.zeros(len(prints), bool)
         for b in range(BLOCKS):
-            hit |= tables[b, (prints >> np.uint64(8 * b)).astype(np.int64) & 255]
-        row, col = np.nonzero(hit)
-        close = np.bitwise_count(prints[row] ^ own[col]) <= RADIUS
-        return row[close], col[close]
+            hit |= tables[b, (prints >> np.uint64(8 * b)).astype(np.int64) & 255, col]
+        row = np.nonzero(hit)[0]
+        return row[np.bitwise_count(prints[row] ^ own[col]) <= RADIUS]
 
     def hits(self, text: bytes, similarity: float) -> list[tuple[object, int, int, float]]:
         """(item id, first word, end word, similarity) of item-sized windows at least that similar, none overlapping per item."""
+        if similarity < self.similarity:
+            raise ValueError(f"the anchors are made for a similarity of {self.similarity} or more")
         words = words_of(text)
         if not words or not len(self.shingles):
             return []
@@ -138,7 +163,7 @@ class ItemIndex:
         anchor = np.nonzero(self.shingles[at] == sh)[0]
         out = []
         if size == SHINGLE and len(anchor):
-            out += self._windows(words, sh, anchor, similarity)
+            out += self._windows(words, sh, anchor, at[anchor], similarity)
         if self.short:
             out += self._short(words)
         return out
@@ -161,21 +186,29 @@ class ItemIndex:
                 out += [(i.item_id, p, p + n, 1.0) for i in same]
         return out
 
-    def _windows(self, words, sh, anchor, similarity):
+    def _windows(self, words, sh, anchor, which, similarity):
         w = weights_of(words, SHINGLE)
         found: dict[int, list[tuple[float, int]]] = {}
-        for n, (group, _, _) in self.by_size.items():
+        # Places of each item's anchors in the text.
+        n_owners = self.first[which + 1] - self.first[which]
+        spot = np.repeat(anchor, n_owners)
+        item = self.owners[np.repeat(self.first[which], n_owners) + np.arange(len(spot)) - np.repeat(np.cumsum(n_owners) - n_owners, n_owners)]
+        order = np.lexsort((spot, item))
+        spot, item = spot[order], item[order]
+        edge = np.concatenate([[0], np.nonzero(np.diff(item))[0] + 1, [len(item)]])
+        for e, f in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            k, at = int(item[e]), spot[e:f]
+            n = self.items[k].n_words
             m = n - SHINGLE + 1
             if n < SHINGLE:
                 continue
             if len(words) < n:  # the whole document is the window; its weight bounds the similarity
-                for k in group:
-                    if similarity * self.items[k].total <= w.sum() and (s := self._similar(self.items[k], sh, w)) >= similarity:
-                        found.setdefault(k, []).append((s, 0))
+                if similarity * self.items[k].total <= w.sum() and (s := self._similar(self.items[k], sh, w)) >= similarity:
+                    found.setdefault(k, []).append((s, 0))
                 continue
             # Starts of windows with an anchor in them, as ranges that don't overlap.
             last = len(sh) - m
-            lo, hi = np.maximum(anchor - m + 1, 0), np.minimum(anchor, last)
+            lo, hi = np.maximum(at - m + 1, 0), np.minimum(at, last)
             fresh = np.concatenate([[True], lo[1:] > np.maximum.accumulate(hi)[:-1] + 1])
             begins = lo[fresh]
             ends = np.maximum.accumulate(hi)[np.concatenate([np.nonzero(fresh)[0][1:] - 1, [len(hi) - 1]])]
@@ -184,10 +217,10 @@ class ItemIndex:
                     d = min(c + 4095, b)
                     part = np.concatenate([np.zeros((1, 64)), np.cumsum(_bits(sh[c : d + m]) * w[c : d + m, None], axis=0)])
                     prints = _packed(part[m:] - part[:-m])
-                    for r, k in zip(*(x.tolist() for x in self.candidates(prints, n))):
-                        s = self._similar(self.items[group[k]], sh[c + r : c + r + m], w[c + r : c + r + m])
+                    for r in self.candidates(prints, k).tolist():
+                        s = self._similar(self.items[k], sh[c + r : c + r + m], w[c + r : c + r + m])
                         if s >= similarity:
-                            found.setdefault(group[k], []).append((s, c + r))
+                            found.setdefault(k, []).append((s, c + r))
         out = []
         for k, places in found.items():
             taken: list[int] = []
@@ -210,12 +243,12 @@ class ItemIndex:
         return both / (item.total + float(weights.sum()) - both)
 
 
-_HIT = T.StructType([field("item", T.LongType()), field("start", T.LongType()), field("end", T.LongType()), field("similarity", T.DoubleType())])
+_HIT = T.StructType([field("item", T.StringType()), field("start", T.LongType()), field("end", T.LongType()), field("similarity", T.DoubleType())])
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, bytes]]]:
-    """Items in blocks of bounded count and size, each fetched by itself; null ids or texts are left out."""
-    named = items.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).dropna()
+def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, bytes]]]:
+    """Items (id as text) in blocks of bounded count and size, each fetched by itself; null ids or texts are left out."""
+    named = items.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).dropna()
     n, size = named.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     place = F.pmod(F.xxhash64("i"), F.lit(blocks))
@@ -232,7 +265,7 @@ def benchmark_hits(
     item_text: str = "text",
     similarity: float = SIMILARITY,
 ) -> DataFrame:
-    """One row per place where a document repeats a benchmark item: `id_cols`, item, start, end (words), similarity.
+    """One row per place where a document repeats a benchmark item: `id_cols`, item (of its own type), start, end (words), similarity.
 
     Words are lower-cased runs of ASCII letters, digits and other characters. Of overlapping windows of one item the most
     similar one is given, the first on ties; places of different items may overlap. Documents without a hit have no row,
@@ -240,27 +273,34 @@ def benchmark_hits(
     than five words match where they stand word for word. No items or no documents: no rows.
     """
     ids = id_cols or ["doc_id"]
+    names = [f"c{i}" for i in range(len(ids))]
+    plain = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(ids, names)], F.col(f"`{text_col}`").alias("t"))
+    id_type = items.schema[item_id].dataType
     out = None
     for block in item_blocks(items, item_id, item_text):
         def start(block=block):
-            index = ItemIndex(block)
+            index = ItemIndex(block, similarity)
 
             def work(texts):
                 return {"hits": [[{"item": i, "start": a, "end": b, "similarity": s} for i, a, b, s in index.hits(t, similarity)] if t else [] for t in texts]}
 
             return work
 
-        made = map_texts(df, ids, text_col, T.StructType([field("hits", T.ArrayType(_HIT))]), start)
-        part = made.select(*[F.col(f"`{c}`") for c in ids], F.explode("hits").alias("__h")).select(*[f"`{c}`" for c in ids], "__h.*")
-        out = part if out is None else out.unionAll(part)
-    return out
+        made = map_texts(plain, names, "t", T.StructType([field("hits", T.ArrayType(_HIT))]), start)
+        part = made.select(*names, F.explode("hits").alias("h")).select(*names, F.col("h.item").cast(id_type).alias("item"), "h.start", "h.end", "h.similarity")
+        if len(block) < BLOCK_ITEMS and out is None:
+            out = part
+        else:  # one of several blocks: written, so that neither its items nor its plan is held on
+            part = stored(part)
+            out = part if out is None else out.unionAll(part)
+    return out.toDF(*ids, "item", "start", "end", "similarity")
 
 
 def without_benchmark(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of `df` whose whole text repeats no item; all columns stay, null and empty texts too."""
     for block in item_blocks(items, item_id, item_text):
         def start(block=block):
-            index = ItemIndex(block)
+            index = ItemIndex(block, similarity)
             return lambda texts: [not t or not index.hits(t, similarity) for t in texts]
 
         df = filter_texts(df, text_col, start)

@@ -425,6 +425,39 @@ def test_windows_equal_all_windows():
         assert hits == want
 
 
+def test_recall_at_the_threshold():
+    """Windows edited word by word down to a similarity just above 0.8: all are found."""
+    near = missed = 0
+    for trial in range(400):
+        rng = random.Random(trial)
+        item = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(30, 120))]
+        index = decontaminate.ItemIndex([(1, " ".join(item).encode()), *((2 + j, prose(700 + j, 50).encode()) for j in range(3))])
+        words, best = list(item), None
+        while True:
+            w = list(words)
+            w[rng.randrange(len(w))] = f"x{rng.randrange(1000)}"
+            sh, size = decontaminate.shingles_of([x.encode() for x in w], index.hashes)
+            s = index._similar(index.items[0], sh, decontaminate.weights_of([x.encode() for x in w], size))
+            if s < 0.8:
+                break
+            words, best = w, s
+        if best is not None:
+            near += 1
+            text = prose(trial, 30) + " " + " ".join(words) + " " + prose(trial + 900, 30)
+            missed += not any(h[0] == 1 for h in index.hits(text.encode(), 0.8))
+    assert near > 200 and missed == 0
+
+
+def test_item_ids_of_any_type_and_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(f"mmlu-{k}", prose(300 + k, 30)) for k in range(7)], "item_id string, text string")
+    df = spark.createDataFrame([(k, prose(50 + k, 20) + " " + prose(300 + k, 30), 1, 2) for k in range(9)], "doc_id long, text string, item int, start int")
+    for size in (20_000, 2):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", size)
+        got = decontaminate.benchmark_hits(df, items).collect()
+        assert sorted((r.doc_id, r.item) for r in got) == [(k, f"mmlu-{k}") for k in range(7)]
+        assert sorted(r.doc_id for r in decontaminate.without_benchmark(df, items).collect()) == [7, 8]
+
+
 # --- 9 ---------------------------------------------------------------------------------------------------------------
 
 def test_gear_and_cuts():
