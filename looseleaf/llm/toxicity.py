@@ -186,7 +186,7 @@ def _telling(pos: Counter, neg: Counter, n_pos: int, n_neg: int) -> dict[bytes,
     return out
 
 
-def _without_copies(bags: list[set[bytes]], labels: list[int]) -> list[tuple[set[bytes], int]]:
+def _without_copies(bags: list, labels: list[int]) -> list[tuple]:
     """Of bags of one label that share most words the first: copies of one text would pass for evidence."""
     rng = np.random.Generator(np.random.PCG64(3))
     times = rng.integers(0, 1 << 63, 16, np.uint64) | np.uint64(1)
@@ -198,15 +198,15 @@ def _without_copies(bags: list[set[bytes]], labels: list[int]) -> list[tuple[set
             continue
         low = (np.fromiter(map(hash_of, words), np.uint64, len(words))[:, None] * times).min(axis=0)
         keys = [(y, k, *low[4 * k : 4 * k + 4].tolist()) for k in range(4)]
-        if not any(k in met and 5 * len(bag & kept[met[k]][0]) >= 3 * max(len(bag), len(kept[met[k]][0])) for k in keys):
+        if not any(k in met and 5 * len(set(bag).intersection(kept[met[k]][0])) >= 3 * max(len(bag), len(kept[met[k]][0])) for k in keys):
             for k in keys:
                 met.setdefault(k, len(kept))
             kept.append((bag, y))
     return kept
 
 
-def train_on(bags: list[set[bytes]], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 3) -> ToxicityModel:
-    """A model from texts' words and phrases and their labels (1: toxic). Deterministic; all-negative scores where nothing tells the classes apart."""
+def train_on(bags: list, labels: list[int], landmarks: int = LANDMARKS, rounds: int = 3) -> ToxicityModel:
+    """A model from texts' distinct words and phrases (any collection of them) and their labels (1: toxic). Deterministic; all-negative scores where nothing tells the classes apart."""
     kept = _without_copies(bags, labels)
     toxic, clean = [b for b, y in kept if y], [b for b, y in kept if not y]
     empty = ToxicityModel(np.zeros(1 << BITS), -1.0, 2.0, -2.0)
@@ -224,7 +224,8 @@ def train_on(bags: list[set[bytes]], labels: list[int], landmarks: int = LANDMAR
     near = {w for p in pairs for w in p.split(b" ")}
     beside = [p for p, _ in sorted(neg.items(), key=lambda x: (-x[1], x[0])) if b" " in p and p not in telling and not near.isdisjoint(p.split(b" "))][:3000]
     own = words | set(pairs)
-    toxic, clean = ([{w for w in b if b" " not in w or w in own} for b in group] for group in (toxic, clean))
+    toxic, clean = ([tuple(w for w in b if b" " not in w or w in own) for b in group] for group in (toxic, clean))
+    del kept
     neg = Counter({w: n for w, n in neg.items() if b" " not in w})
     if not own:
         return empty
@@ -249,7 +250,7 @@ def train_on(bags: list[set[bytes]], labels: list[int], landmarks: int = LANDMAR
         good = value > 1e-4 * value[-1]
         root = vector[:, good] / np.sqrt(value[good])
         items = positives + varied + negatives
-        x = land.kernel(items).astype(np.float64) @ root
+        x = land.kernel(items) @ root.astype(np.float32)
         y = np.array([1.0] * (len(positives) + len(varied)) + [-1.0] * len(negatives))
         counts = np.array([1.0 + np.log1p(found[w]) for w in positives] + [0.4] * len(varied) + [1.0] * len(negatives))
         counts = np.where(y > 0, counts / counts[y > 0].sum(), counts / counts[y < 0].sum())
@@ -307,10 +308,11 @@ def train(texts: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return lambda made: {"words": [sorted(words_in(t) | (phrases_in(t) & keep if keep else set())) for t in made]}
 
     rows = map_texts(sample, ["i", "y"], "t", T.StructType([field("words", T.ArrayType(T.BinaryType()))]), start).toLocalIterator()
-    # One object a string: texts share most of their words.
+    # One object a string, and tuples of them: texts share most of their words, and the driver holds them all.
     known: dict[bytes, bytes] = {}
-    got = sorted(((r["i"], r["y"], frozenset(known.setdefault(w, w) for w in map(bytes, r["words"]))) for r in rows), key=lambda r: (r[0], r[1]))
-    return train_on([set(r[2]) for r in got], [r[1] for r in got], landmarks)
+    got = sorted(((r["i"], r["y"], tuple(known.setdefault(w, w) for w in map(bytes, r["words"]))) for r in rows), key=lambda r: (r[0], r[1]))
+    del known
+    return train_on([r[2] for r in got], [r[1] for r in got], landmarks)
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, id_cols: list[str] | None = None, text_col: str = "text") -> DataFrame:
