@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -17,11 +18,13 @@ from pyspark.sql import functions as F
 
 from ..functions import variants as V
 from ..functions.paths import CatalogPath
-from ..sources.store import Corrupt, DocumentStore, Segment, Snapshot
+from ..sources.store import Corrupt, DocumentStore, Segment, Snapshot, StoreError
 from .predicates import Compare, In, Predicate, nodes
 from .schema import signature
 
 MAX_TERM_BYTES = 512
+#: Segments of fewer rows are indexed in the one task that reads them.
+SMALL = 10_000
 
 
 def term_of(value) -> tuple[int, str]:
@@ -117,6 +120,7 @@ class IndexRegistry:
 
     def __init__(self, store: DocumentStore):
         self.store = store
+        self._read: tuple[int, str] = (-1, "")
         self.problems: list[str] = []
 
     def _load(self) -> dict:
@@ -125,7 +129,9 @@ class IndexRegistry:
         if not known:
             return {"next": 1, "indexes": {}}
         try:
-            return json.loads(self.store._read_text("registry", f"{known[-1]:012d}.json"))
+            if self._read[0] != known[-1]:  # a numbered file never changes
+                self._read = known[-1], self.store._read_text("registry", f"{known[-1]:012d}.json")
+            return json.loads(self._read[1])
         except ValueError as e:
             raise Corrupt(f"registry {known[-1]}: {e}") from None
 
@@ -158,20 +164,29 @@ class IndexRegistry:
         self._save(state)
         self.store._fs.delete(self.store._path("indexes", str(index)), True)
 
-    def built(self, index: int, name: str) -> bool:
-        return self.store._fs.exists(self.store._path("indexes", str(index), name, "_SUCCESS"))
-
     def coverage(self, index: int, snapshot: Snapshot | None = None) -> tuple[list[Segment], list[Segment]]:
-        """Live segments with a side table, and those without."""
+        """Live segments with a side table, and those without; side tables get their names only when they are whole."""
         parts = (snapshot or self.store.snapshot()).manifest.segments
-        have = [s for s in parts if self.built(index, s.name)]
-        return have, [s for s in parts if s not in have]
+        names = set(self.store.names("indexes", str(index)))
+        return [s for s in parts if s.name in names], [s for s in parts if s.name not in names]
 
     def build_segment(self, index: int, s: Segment) -> None:
+        """One segment's side table, range-partitioned by term or value, so a lookup's rows lie in few files and row groups.
+
+        It is written beside and renamed, so a table that is there is whole.
+        """
         d = self.indexes()[index]
         rows = side_table(self.store.read_segments([s.name]).filter(F.col("doc").isNotNull()), d)
         by = ["tag", "term", "key"] if d.kind != "column" else ["num", "txt", "key"]
-        rows.sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{self.store.path}/indexes/{index}/{s.name}")
+        parts = max(1, -(-s.rows // self.store.options.target_rows))
+        ranged = rows.repartitionByRange(parts, *by) if parts > 1 else rows.coalesce(1) if s.rows < SMALL else rows.repartition(1)
+        beside = f"{index}/.{s.name}-{uuid.uuid4().hex}"
+        ranged.sortWithinPartitions(*by).write.parquet(f"{self.store.path}/indexes/{beside}")
+        fs, final = self.store._fs, self.store._path("indexes", str(index), s.name)
+        if fs.exists(final):
+            fs.delete(final, True)
+        if not fs.rename(self.store._path("indexes", *beside.split("/")), final):
+            raise StoreError(f"the side table {index}/{s.name} can't be put in place")
 
     def backfill(self, index: int) -> None:
         """Side tables for segments that have none yet."""
@@ -224,8 +239,11 @@ class IndexRegistry:
 
     # --- lookups: candidate keys ---
 
-    def lookup(self, index: int, op: str, values: tuple = (), snapshot: Snapshot | None = None) -> DataFrame:
-        """Candidate keys of the covered segments: EQ, IN, EXISTS by the side table, ABSENT by its complement there."""
+    def lookup(self, index: int, op: str, values: tuple = (), snapshot: Snapshot | None = None, distinct: bool = True) -> DataFrame:
+        """Candidate keys of the covered segments: EQ, IN, EXISTS by the side table, ABSENT by its complement there.
+
+        Without `distinct` a key may stand more than once, and nothing is shuffled but for ABSENT.
+        """
         have, _ = self.coverage(index, snapshot)
         rows = self.table(index, have)
         if op in ("EQ", "IN"):
@@ -237,21 +255,23 @@ class IndexRegistry:
                     tag, text = term_of(v)
                     long = len(text.encode()) > MAX_TERM_BYTES
                     test = test | ((F.col("tag") == -1) if long else (F.col("tag") == tag) & (F.col("term") == text))
-            return rows.filter(test).select("key").distinct()
+            found = rows.filter(test).select("key")
+            return found.distinct() if distinct else found
         if op == "EXISTS":
-            return rows.select("key").distinct()
+            return rows.select("key").distinct() if distinct else rows.select("key")
         if op == "ABSENT":
             every = self.store.read_segments([s.name for s in have]).filter(F.col("doc").isNotNull()).select("key", "seq").distinct()
             return every.join(rows.select("key", "seq").distinct(), ["key", "seq"], "left_anti").select("key").distinct()
         raise ValueError(op)
 
-    def lookup_tuple(self, index: int, values: dict[str, object], snapshot: Snapshot | None = None) -> DataFrame:
+    def lookup_tuple(self, index: int, values: dict[str, object], snapshot: Snapshot | None = None, distinct: bool = True) -> DataFrame:
         """Candidate keys of documents with an element whose declared fields have these values."""
         d = self.indexes()[index]
         text = "\x1f".join("\x1e".join((str(t), x)) for t, x in (term_of(values[f]) for f in d.fields))
-        return self.table(index, self.coverage(index, snapshot)[0]).filter((F.col("tag") == 9) & (F.col("term") == text)).select("key").distinct()
+        found = self.table(index, self.coverage(index, snapshot)[0]).filter((F.col("tag") == 9) & (F.col("term") == text)).select("key")
+        return found.distinct() if distinct else found
 
-    def evaluate(self, index: int, leaf: Predicate, snapshot: Snapshot | None = None) -> DataFrame:
+    def evaluate(self, index: int, leaf: Predicate, snapshot: Snapshot | None = None, distinct: bool = True) -> DataFrame:
         """Candidate keys of a comparison over a column index: typed columns prune, the stored value decides."""
         from .predicates import value_test
 
@@ -270,7 +290,8 @@ class IndexRegistry:
                 near = F.lit(v).cast("decimal(38,18)") if abs(v) < 10**20 and -v.as_tuple().exponent <= 18 else None
                 prune = F.lit(True) if near is None else ({"=": F.col("num") == near, "<": F.col("num") <= near, "<=": F.col("num") <= near, ">": F.col("num") >= near, ">=": F.col("num") >= near}[op])
                 test = test | ((F.col("num").isNull() | prune) & exact)
-        return rows.filter(test).select("key").distinct()
+        found = rows.filter(test).select("key")
+        return found.distinct() if distinct else found
 
 
 def short(value) -> bool:

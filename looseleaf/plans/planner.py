@@ -23,6 +23,7 @@ class Source:
     definition: Definition
     keys: DataFrame
     certain: bool = False  # whether the lookup's keys are the leaf's answer, not just candidates for it
+    once: bool = False  # whether no key stands twice among a segment's
     candidates: int | None = None
     estimate: float | None = None
 
@@ -74,15 +75,17 @@ class Engine:
                     fields = {f: values.get(str(CatalogPath.parse(f))) for f in d.fields}
                     if all(v is not None for v in fields.values()):
                         parts = leaf.operand.parts if isinstance(leaf.operand, And) else (leaf.operand,)
-                        best = Source(leaf, k, d, self.indexes.lookup_tuple(k, fields, snap), len(parts) == len(fields))
+                        best = Source(leaf, k, d, self.indexes.lookup_tuple(k, fields, snap, False), len(parts) == len(fields))
                         break
                 elif indexable(leaf, d) and (best is None or d.kind == "inverted"):
                     op = "IN" if isinstance(leaf, In) else "EQ"
                     values = leaf.values if isinstance(leaf, In) else (leaf.value,)
-                    keys = self.indexes.lookup(k, op, values, snap) if d.kind == "inverted" else self.indexes.evaluate(k, leaf, snap)
-                    best = Source(leaf, k, d, keys, d.kind == "column" or all(v is not None and short(v) for v in values))
+                    keys = self.indexes.lookup(k, op, values, snap, False) if d.kind == "inverted" else self.indexes.evaluate(k, leaf, snap, False)
+                    # An inverted index holds a term once a key and segment; a column holds a value a node.
+                    once = op == "EQ" if d.kind == "inverted" else not CatalogPath.parse(d.path).multiple
+                    best = Source(leaf, k, d, keys, d.kind == "column" or all(v is not None and short(v) for v in values), once)
                 elif isinstance(leaf, (Exists, IsNull)) and d.kind == "inverted" and str(leaf.path) == str(CatalogPath.parse(d.path)):
-                    best = best or Source(leaf, k, d, self.indexes.lookup(k, "EXISTS", (), snap), isinstance(leaf, Exists))
+                    best = best or Source(leaf, k, d, self.indexes.lookup(k, "EXISTS", (), snap, False), isinstance(leaf, Exists))
                 elif isinstance(leaf, Not) and isinstance(leaf.part, Exists) and d.kind == "inverted" and str(leaf.part.path) == str(CatalogPath.parse(d.path)):
                     best = best or Source(leaf, k, d, self.indexes.lookup(k, "ABSENT", (), snap), True)
             if best is not None:
@@ -96,7 +99,7 @@ class Engine:
         plan.scanned = [s.name for s in live if s.name not in plan.indexed]
         if measure:
             for s in plan.sources:
-                s.candidates = s.keys.count()
+                s.candidates = s.keys.distinct().count()
             plan.sources.sort(key=lambda s: s.candidates)
         else:
             plan.sources.sort(key=lambda s: 1.0 if s.estimate is None else s.estimate)
@@ -126,7 +129,7 @@ class Engine:
         if query.projection == KEYS and plan.sources and not plan.scanned and leaves == len(plan.sources) and all(s.certain for s in plan.sources):
             first, last = (None if k is None else as_key(k) for k in (query.first, query.last))
             if not self.store.versions(snap, first, last)[1]:
-                keys = plan.sources[0].keys
+                keys = plan.sources[0].keys if plan.sources[0].once else plan.sources[0].keys.distinct()
                 for s in plan.sources[1:]:
                     keys = keys.join(s.keys, "key", "left_semi")
                 bounds = (None if k is None else bytearray(k) for k in (first, last))
