@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import variants as V
 from ..functions.paths import CatalogPath
 from ..sources.store import Corrupt, DocumentStore, Segment, Snapshot, StoreError
-from .predicates import Compare, In, Predicate, nodes
+from .predicates import And, Compare, In, Predicate, nodes
 from .schema import signature
 
 MAX_TERM_BYTES = 512
@@ -86,7 +86,9 @@ def side_table(rows: DataFrame, d: Definition) -> DataFrame:
         scalars = F.filter(nodes(F.col("doc"), path), V.is_scalar)
         return rows.select("key", "seq", F.explode(F.array_distinct(F.transform(scalars, term))).alias("t")).select("key", "seq", F.col("t.tag").alias("tag"), F.col("t.text").alias("term"))
     typed = rows.select("key", "seq", F.explode(F.filter(nodes(F.col("doc"), path), V.is_scalar)).alias("v"))
-    return typed.select("key", "seq", V.decimal_value(F.col("v")).alias("num"), V.double_value(F.col("v")).alias("dbl"), V.string_value(F.col("v")).alias("txt"), V.boolean_value(F.col("v")).alias("bool"), V.is_json_null(F.col("v")).alias("is_null"), F.col("v"))
+    scale = F.regexp_extract(V.type_text(F.col("v")), r",(\d+)\)", 1)
+    exact = V.decimal_value(F.col("v")).isNotNull() & ((scale == "") | (scale.cast("int") <= 18))  # `num` is the value itself
+    return typed.select("key", "seq", exact.alias("exact"), V.decimal_value(F.col("v")).alias("num"), V.double_value(F.col("v")).alias("dbl"), V.string_value(F.col("v")).alias("txt"), V.boolean_value(F.col("v")).alias("bool"), V.is_json_null(F.col("v")).alias("is_null"), F.col("v"))
 
 
 def _spark(f: str) -> str:
@@ -272,10 +274,19 @@ class IndexRegistry:
         return found.distinct() if distinct else found
 
     def evaluate(self, index: int, leaf: Predicate, snapshot: Snapshot | None = None, distinct: bool = True) -> DataFrame:
-        """Candidate keys of a comparison over a column index: typed columns prune, the stored value decides."""
-        from .predicates import value_test
+        """Candidate keys of a comparison over a column index, or of several that one value meets (an And over a single-valued path).
 
+        Typed columns prune, and decide where they hold the value itself; else the stored value does.
+        """
         rows = self.table(index, self.coverage(index, snapshot)[0])
+        for part in leaf.parts if isinstance(leaf, And) else (leaf,):
+            rows = rows.filter(self._value_filter(part))
+        found = rows.select("key")
+        return found.distinct() if distinct else found
+
+    def _value_filter(self, leaf: Predicate) -> Column:
+        from .predicates import value_test
+
         op, values = ("=", leaf.values) if isinstance(leaf, In) else (leaf.op, (leaf.value,))
         test = F.lit(False)
         for v in values:
@@ -289,9 +300,11 @@ class IndexRegistry:
             else:
                 near = F.lit(v).cast("decimal(38,18)") if abs(v) < 10**20 and -v.as_tuple().exponent <= 18 else None
                 prune = F.lit(True) if near is None else ({"=": F.col("num") == near, "<": F.col("num") <= near, "<=": F.col("num") <= near, ">": F.col("num") >= near, ">=": F.col("num") >= near}[op])
-                test = test | ((F.col("num").isNull() | prune) & exact)
-        found = rows.filter(test).select("key")
-        return found.distinct() if distinct else found
+                # The first part alone can be pushed down to the files.
+                sure = F.lit(False) if near is None else {"=": F.col("num") == near, "<": F.col("num") < near, "<=": F.col("num") <= near, ">": F.col("num") > near, ">=": F.col("num") >= near}[op]
+                decided = F.lit(False) if near is None else F.coalesce("exact", F.lit(False))
+                test = test | ((F.col("num").isNull() | prune) & F.when(decided, sure).otherwise(exact))
+        return test
 
 
 def short(value) -> bool:

@@ -24,6 +24,7 @@ class Source:
     keys: DataFrame
     certain: bool = False  # whether the lookup's keys are the leaf's answer, not just candidates for it
     once: bool = False  # whether no key stands twice among a segment's
+    leaves: int = 1  # conjuncts that it answers
     candidates: int | None = None
     estimate: float | None = None
 
@@ -91,6 +92,7 @@ class Engine:
             if best is not None:
                 best.estimate = self._estimate(leaf)
                 plan.sources.append(best)
+        plan.sources = self._together(plan.sources, snap)
         covered = None
         for s in plan.sources:
             have = {x.name for x in self.indexes.coverage(s.index, snap)[0]}
@@ -107,6 +109,22 @@ class Engine:
             plan.notes += type_notes(p, self.schema)
         return plan
 
+    def _together(self, sources: list[Source], snap: Snapshot) -> list[Source]:
+        """Comparisons over one column of a single-valued path as one lookup, so that a range reads its rows once."""
+        out: dict[object, list[Source]] = {}
+        for i, s in enumerate(sources):
+            single = s.definition.kind == "column" and s.once and isinstance(s.leaf, (Compare, In))
+            out.setdefault(s.index if single else ("own", i), []).append(s)
+        made = []
+        for group in out.values():
+            if len(group) == 1:
+                made += group
+                continue
+            leaf = And(tuple(s.leaf for s in group))
+            guesses = [s.estimate for s in group if s.estimate is not None]
+            made.append(Source(leaf, group[0].index, group[0].definition, self.indexes.evaluate(group[0].index, leaf, snap, False), True, True, len(group), None, min(guesses) if guesses else None))
+        return made
+
     def _estimate(self, leaf: Predicate) -> float | None:
         if self.schema is None:
             return None
@@ -126,7 +144,7 @@ class Engine:
         snap = snapshot or self.store.snapshot()
         plan = self.plan(query, snap)
         leaves = len(plan.predicate.parts) if isinstance(plan.predicate, And) else 1
-        if query.projection == KEYS and plan.sources and not plan.scanned and leaves == len(plan.sources) and all(s.certain for s in plan.sources):
+        if query.projection == KEYS and plan.sources and not plan.scanned and leaves == sum(s.leaves for s in plan.sources) and all(s.certain for s in plan.sources):
             first, last = (None if k is None else as_key(k) for k in (query.first, query.last))
             if not self.store.versions(snap, first, last)[1]:
                 keys = plan.sources[0].keys if plan.sources[0].once else plan.sources[0].keys.distinct()
