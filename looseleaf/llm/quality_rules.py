@@ -129,17 +129,22 @@ def quality_decisions(
     )
 
 
-def quality_filter(df: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def quality_filter(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", host_col: str = "source", **options) -> DataFrame:
     """The rows of `df` that are kept, all columns as they were but for removed lines of `text_col` (and `n_chars`, if there).
 
-    Row identity is by key, so repeated rows all stay or all go. See quality_decisions for options and edge cases.
+    Row identity is by key, so repeated rows all stay or all go; columns of any name may be there. See quality_decisions for
+    options and edge cases.
     """
-    made = quality_decisions(df, text_col=text_col, **options).filter("kept").select(*_KEY, F.col("removed").alias("__removed")).dropDuplicates(_KEY)
-    rows = keyed(df, options.get("id_col", "doc_id"), text_col, options.get("host_col", "source")).join(made, _KEY)
-    clean = without_lines(rows, text_col)
-    if "n_chars" in df.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length(f"`{text_col}`")).cast(df.schema["n_chars"].dataType))
-    return clean.select(*[f"`{c}`" for c in df.columns])
+    names = df.columns
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    plain = df.toDF(*at.values())
+    keys = [at[c] for c in (id_col, text_col, host_col)]
+    made = quality_decisions(plain, *keys, **options).filter("kept").select(*_KEY, F.col("removed").alias("__removed")).dropDuplicates(_KEY)
+    clean = without_lines(keyed(plain, *keys).join(made, _KEY), at[text_col])
+    if "n_chars" in at:
+        n = at["n_chars"]
+        clean = clean.withColumn(n, F.when(F.col("__removed").isNull(), F.col(n)).otherwise(F.length(at[text_col])).cast(df.schema["n_chars"].dataType))
+    return clean.select(*at.values()).toDF(*names)
 
 
 def without_lines(df: DataFrame, text_col: str) -> DataFrame:

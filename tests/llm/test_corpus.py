@@ -96,6 +96,12 @@ def test_boilerplate_lines(spark):
     assert "header" not in kept[3].text.lower() and kept[3].n_chars == len(kept[3].text) and "header" in kept[101].text and kept[101].n_chars == 1
 
 
+def test_quality_filter_leaves_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, prose(i, 70), "h", 7, "x", 1) for i in range(3)], "doc_id long, text string, source string, __k1 int, __host string, c0 int")
+    out = quality_rules.quality_filter(df)
+    assert out.columns == df.columns and sorted(out.collect()) == sorted(df.collect())
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------------------
 
 def test_secrets_match_brute_force(docs, nothing):
