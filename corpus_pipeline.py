@@ -21,7 +21,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a five-word shingle similarity of 0.8 or more, the one with the smallest id stays."""
+    """Of each group of documents linked by a five-word shingle similarity of 0.8 or more, the one with the smallest id stays.
+
+    SimHashes and their Golay keys propose the pairs, the exact similarity decides.
+    """
     return simhash_dedup.one_of_each(docs, group=shingle_dedup.similar_groups)
 
 
