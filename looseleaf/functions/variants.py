@@ -48,13 +48,21 @@ def fast_json(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """`rows` with `value` as the column `name`, worked out once a row.
+
+    A filter is moved below a projection and then works its columns out again for each mention of them; it can't pass an explode.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def child(v: Column, spark_path: str) -> Column:
     return F.try_variant_get(v, spark_path, "variant")
 
 
 def type_text(v: Column) -> Column:
-    """`schema_of_variant`, null for an absent value."""
-    return F.when(v.isNotNull(), F.schema_of_variant(v))
+    """`schema_of_variant` of a scalar, ARRAY or OBJECT for the others (whose schema would take a walk through all of them), null for an absent value."""
+    return F.when(is_array(v), "ARRAY").when(is_object(v), "OBJECT").when(v.isNotNull(), F.schema_of_variant(v))
 
 
 def is_array(v: Column) -> Column:
@@ -83,8 +91,7 @@ def kind(v: Column) -> Column:
 
 
 def is_scalar(v: Column) -> Column:
-    t = type_text(v)
-    return t.isNotNull() & ~t.startswith("ARRAY") & ~t.startswith("OBJECT")
+    return v.isNotNull() & ~is_array(v) & ~is_object(v)
 
 
 def is_json_null(v: Column) -> Column:

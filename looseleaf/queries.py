@@ -35,14 +35,15 @@ def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as JSON texts with their line items inside, and some fields of varying presence and type."""
     V.configure(spark)
     k = F.col("o_orderkey")
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+    # The lines of an order meet once, ahead of the aggregate; the join needs no shuffle besides this one and that of the orders.
+    lines = table(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct(
             F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"),
             F.col("l_discount").alias("disc"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("state"),
         ))).alias("items")
     )
     # Building JSON is what costs here: spread the rows for it, however few files and splits they came from.
-    joined = table(spark, sf_dir, "orders").join(lines, k == F.col("l_orderkey"), "left").repartition(k)
+    joined = table(spark, sf_dir, "orders").repartition(k).join(lines, k == F.col("l_orderkey"), "left")
     score = (k % 50).cast("string")
     body = F.to_json(F.struct(
         k.alias("orderkey"), F.col("o_custkey").alias("custkey"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"),
@@ -54,11 +55,12 @@ def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
     extra = F.concat(F.when(k % 6 == 2, ',"note":null').otherwise(""), F.lit(',"score":'), F.when(k % 7 < 5, score).otherwise(F.concat(F.lit('"'), score, F.lit('"'))))
     text = F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.col("extra"), F.lit("}"))
-    return joined.select(F.lpad(k.cast("string"), 10, "0").alias("key"), body.alias("body"), extra.alias("extra")).select("key", text.alias("text"))
+    bodies = V.once(joined.withColumn("extra", extra), "body", body)
+    return bodies.select(F.lpad(k.cast("string"), 10, "0").alias("key"), text.alias("text"))
 
 
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_texts(spark, sf_dir).select("key", V.fast_json(F.col("text")).alias("doc"))
+    return V.once(order_texts(spark, sf_dir), "doc", V.fast_json(F.col("text"))).select("key", "doc")
 
 
 def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
