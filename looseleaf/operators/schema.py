@@ -36,6 +36,8 @@ class Budgets:
 def signature(kind: str, x) -> bytes | None:
     """Identity of a scalar: a tag and its canonical text; equal numbers of any width are one value; none for null."""
     if kind in NUMERIC:
+        if isinstance(x, int):
+            return b"1%d" % x
         if isinstance(x, float) and not math.isfinite(x):
             return b"1" + repr(x).encode()
         d = Decimal(repr(x)) if isinstance(x, float) else Decimal(x)
@@ -56,10 +58,8 @@ def path_of(collapsed: tuple) -> CatalogPath:
     return CatalogPath(tuple(ANY_ELEMENT if x is None else Field(x) for x in collapsed))
 
 
-#: Values remembered in a batch so as not to be looked at again.
-_MET = 500_000
 _BOUND = "struct<rank:string,digits:string>"
-_PARTIAL = f"path string, kind string, n long, bytes long, low {_BOUND}, high {_BOUND}, first string, last string, cuts long, sig long"
+_PARTIAL = f"path string, kind string, n long, bytes long, low {_BOUND}, high {_BOUND}, first string, last string, cuts long, sigs array<long>"
 _NINES = str.maketrans("0123456789", "9876543210")
 
 
@@ -99,47 +99,46 @@ def partial_sketch(docs: DataFrame, doc: str = "doc", budgets: Budgets = Budgets
 
     def run(batches):
         for batch in batches:
-            counts: dict[tuple, list] = {}
-            sigs: set[tuple] = set()
-            spelled: dict[tuple, str] = {}
-            met: set[tuple] = set()
-            for v in batch.column(0).to_pylist():
-                if v is None:
-                    continue
-                for path, kind, x, size, cut in variant_bytes.walk(v["value"], v["metadata"], budgets.depth, budgets.children):
-                    if path not in spelled:
-                        spelled[path] = str(path_of(path))
-                    c = counts.get((path, kind))
-                    if c is None:
-                        c = counts[path, kind] = [0, 0, None, None, None, None, 0]
-                    c[0] += 1
-                    c[1] += size
-                    c[6] += cut
-                    if len(path) >= budgets.depth or kind in ("ARRAY", "OBJECT", "NULL"):
-                        continue  # a scalar at the depth limit counts, but bounds and distinct values stop above it
-                    if (path, kind, x) in met:  # its bounds and signature are in already
-                        continue
-                    met.add((path, kind, x))
-                    d = _number(kind, x)
-                    if d is not None:
-                        c[2] = d if c[2] is None or d < c[2] else c[2]
-                        c[3] = d if c[3] is None or d > c[3] else c[3]
-                    elif kind == "STRING":
-                        c[4] = x if c[4] is None or x.encode() < c[4].encode() else c[4]
-                        c[5] = x if c[5] is None or x.encode() > c[5].encode() else c[5]
-                    s = signature(kind, x)
-                    if s is not None:
-                        sigs.add((path, int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True)))
-                    if len(met) > _MET:
-                        met.clear()
-            rows = [(spelled[p], k, *c, None) for (p, k), c in counts.items()] + [(spelled[p], None, 0, 0, None, None, None, None, 0, s) for p, s in sigs]
+            root = variant_bytes.tally(((v["value"], v["metadata"]) for v in batch.column(0).to_pylist() if v is not None), budgets.depth, budgets.children)
+            rows = [row for path, at in root.everywhere() for row in _rows_of(path, at, budgets)]
             cols = list(zip(*rows)) if rows else [[]] * 10
             bound = pa.struct([("rank", pa.string()), ("digits", pa.string())])
-            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), bound, bound, pa.string(), pa.string(), pa.int64(), pa.int64()]
+            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), bound, bound, pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64())]
             fixed = [[_bound(x) for x in col] if t is bound else col for col, t in zip(cols, types)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(fixed, types)], names=["path", "kind", "n", "bytes", "low", "high", "first", "last", "cuts", "sig"])
-
-    return docs.select(F.col(doc).alias("doc")).mapInArrow(run, _PARTIAL)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(fixed, types)], names=["path", "kind", "n", "bytes", "low", "high", "first", "last", "cuts", "sigs"])
+
+    partial = docs.select(F.col(doc).alias("doc")).mapInArrow(run, _PARTIAL)
+    return partial.select("*", F.explode_outer("sigs").alias("sig")).drop("sigs")
+
+
+def _rows_of(path: tuple, at: variant_bytes.Tally, budgets: Budgets) -> list[tuple]:
+    """A batch's partial rows of one path: one per kind, and one with the signatures of the distinct scalars."""
+    spelled = str(path_of(path))
+    out: list[tuple] = [(spelled, kind, n, size, None, None, None, None, cuts, None) for kind, (n, size, cuts) in at.containers.items()]
+    kinds: dict[str, list] = {}
+    for raw, n in at.scalars.items():  # each encoding is read once, however often it stands
+        kind, x, size = variant_bytes.scalar(raw, 0)
+        c = kinds.setdefault(kind, [0, 0, []])
+        c[0] += n
+        c[1] += n * size
+        c[2].append(x)
+    sigs: set[bytes] = set()
+    for kind, (n, size, found) in kinds.items():
+        low = high = first = last = None
+        if len(path) < budgets.depth and kind != "NULL":  # a scalar at the depth limit counts, but bounds and distinct values stop above it
+            if kind in NUMERIC:
+                finite = [x for x in found if not isinstance(x, float) or math.isfinite(x)]
+                if finite:
+                    low, high = _number(kind, min(finite)), _number(kind, max(finite))
+            elif kind == "STRING":  # code points are in the order of their bytes
+                first, last = min(found), max(found)
+            sigs.update(signature(kind, x) for x in found)
+        out.append((spelled, kind, n, size, low, high, first, last, 0, None))
+    sigs.discard(None)
+    if sigs:
+        digest = hashlib.blake2b
+        out.append((spelled, None, 0, 0, None, None, None, None, 0, [int.from_bytes(digest(s, digest_size=8).digest(), "little", signed=True) for s in sigs]))
+    return out
 
 
 def merge_sketches(partials: DataFrame) -> DataFrame:
@@ -244,9 +243,10 @@ class Schema:
 
 
 def infer_schema(docs: DataFrame, doc: str = "doc", budgets: Budgets = Budgets()) -> Schema:
-    n = docs.filter(F.col(doc).isNotNull()).count()
     merged = merge_sketches(partial_sketch(docs, doc, budgets)).persist()
     total = merged.count()
+    root = merged.filter("path = '$'").first()
+    n = root.observations if root else 0  # every document that isn't null has a root
     rows = merged.orderBy(F.col("observations").desc(), "path").limit(budgets.paths).collect()
     merged.unpersist()
     models = [

@@ -22,3 +22,40 @@ def test_containers_are_told_without_their_schema(spark):
     got = {r.t: (r.k, r.s) for r in docs.select("t", V.type_text(F.col("v")).alias("k"), V.is_scalar(F.col("v")).alias("s")).collect()}
     assert [got[t][0] for t in texts] == ["ARRAY", "OBJECT", "ARRAY", "OBJECT", "VOID", "BIGINT", "STRING", "BOOLEAN"]
     assert [got[t][1] for t in texts] == [False] * 4 + [True] * 4 and not got[None][1]
+
+
+def test_schema_reads_documents_once(spark):
+    from looseleaf.operators import schema as S
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        seen.add(1)
+        return None if i == 3 else f'{{"a":[{i},{i}.50,"x",null],"b":{{"c":1e300}}}}'
+
+    docs = V.configure(spark).range(4).select(V.fast_json(F.udf(text, "string")("id")).alias("doc"))
+    m = S.infer_schema(docs)
+    assert seen.value == 4 and m.documents == 3
+    a = m.get("$.a[*]")
+    assert (a.observations, a.nulls, a.kinds, a.distinct, str(a.low), str(a.high)) == (12, 3, {"DECIMAL": 3, "INTEGER": 3, "NULL": 3, "STRING": 3}, 7, "0", "2.5")
+
+
+def test_tally_counts_what_the_walk_reports(spark):
+    from collections import Counter
+
+    from looseleaf.functions import variant_bytes as B
+
+    texts = ['{"a":[1,{"a":null,"b":[[]]}],"c":1.5,"d":1e300,"e":{},"t":"%s","f":[%s]}' % ("y" * 400, ",".join("1" * 300)), '[1,2,[3,["x"]]]', "5", "null", '{"a":{"a":{"a":[1,"z"]}}}', '{"a":[1,{"a":null,"b":[[]]}]}']
+    docs = [(r.v.value, r.v.metadata) for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("parse_json(t) v").collect()]
+    for depth, children in ((32, 65_536), (2, 3), (0, 9), (3, 1)):
+        want, got = Counter(), Counter()
+        for value, metadata in docs:
+            for p, kind, x, size, cut in B.walk(value, metadata, depth, children):
+                want.update({(p, kind, repr(x)): 1, (p, kind): size, (p, "cut"): int(cut)})
+        for p, at in B.tally(docs, depth, children).everywhere():
+            for kind, (n, size, cuts) in at.containers.items():
+                got.update({(p, kind, "None"): n, (p, kind): size, (p, "cut"): cuts})
+            for raw, n in at.scalars.items():
+                kind, x, size = B.scalar(raw, 0)
+                got.update({(p, kind, repr(x)): n, (p, kind): n * size})
+        assert +got == +want, (depth, children)
