@@ -3,11 +3,12 @@
 A leaf asks whether *some* scalar at its path passes; `and` and `or` combine leaf answers, so two leaves over a path
 with many values may be met by different values; `elem_match` asks for one node that passes the whole operand. `not_` is
 the complement over documents. A comparison only sees values of its literal's family. Predicates compile to non-null
-boolean Columns; only shapes with descendant steps inside an elemMatch operand fall back to a batched function.
+boolean Columns; leaves with descendant steps, on their path or in an elemMatch operand, are a batched function.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -272,6 +273,9 @@ def compile_predicate(p: Predicate, doc: Column | str) -> Column:
 def _compile(p: Predicate, doc: Column) -> Column:
     if isinstance(p, Constant):
         return F.lit(p.value)
+    if not isinstance(p, (And, Or, Not)) and _descends(p):
+        # Only the answer comes back, not the nodes: below a descent a node's text stands in that of all its ancestors.
+        return F.coalesce(json_udf.map_json(matcher(p), T.BooleanType())(F.to_json(doc)), F.lit(False))
     if isinstance(p, (And, Or)):
         out = _compile(p.parts[0], doc)
         for x in p.parts[1:]:
@@ -296,8 +300,6 @@ def _compile(p: Predicate, doc: Column) -> Column:
     if isinstance(p, IsNull):
         return _some(doc, p.path, V.is_json_null)
     if isinstance(p, ElemMatch):
-        if _descends(p.operand):
-            return F.coalesce(json_udf.map_json(lambda v: matches(p, v), T.BooleanType())(F.to_json(doc)), F.lit(False))
         if not p.path.multiple:
             at = single(doc, p.path)
             return F.coalesce(at.isNotNull() & _compile(p.operand, at), F.lit(False))
@@ -362,7 +364,7 @@ def matches(p: Predicate, value: object) -> bool:
         return any(matches(x, value) for x in p.parts)
     if isinstance(p, Not):
         return not matches(p.part, value)
-    found = [v for _, v in json_udf.nodes_at(value, p.path)]
+    found = json_udf.values_at(value, p.path)
     if isinstance(p, ElemMatch):
         return any(matches(p.operand, v) for v in found)
     scalars = [v for v in found if not isinstance(v, (dict, list))]
@@ -375,6 +377,71 @@ def matches(p: Predicate, value: object) -> bool:
     return any(_passes(v, op, w) for v in scalars for w in wanted)
 
 
+def matcher(p: Predicate) -> Callable[[object], bool]:
+    """matches() of a predicate as a function of the parsed document, its shape looked at once and not for every node."""
+    if isinstance(p, Constant):
+        return lambda v: p.value
+    if isinstance(p, Not):
+        inner = matcher(p.part)
+        return lambda v: not inner(v)
+    if isinstance(p, (And, Or)):
+        tests, stop = [matcher(x) for x in p.parts], isinstance(p, Or)
+
+        def several(v) -> bool:
+            for test in tests:
+                if test(v) is stop:
+                    return stop
+            return not stop
+
+        return several
+    reach = _reach(p.path)
+    if isinstance(p, ElemMatch):
+        one = matcher(p.operand)
+    elif isinstance(p, Exists):
+        one = lambda v: not isinstance(v, (dict, list))
+    elif isinstance(p, IsNull):
+        one = lambda v: v is None
+    else:
+        wanted, op = (p.values, "=") if isinstance(p, In) else ((p.value,), p.op)
+        if op == "=" and len(wanted) == 1 and isinstance(wanted[0], str):
+            text = wanted[0]
+            one = lambda v: v == text and type(v) is str
+        else:
+            one = lambda v: not isinstance(v, (dict, list)) and any(_passes(v, op, w) for w in wanted)
+
+    def some(v) -> bool:
+        for x in reach(v):
+            if one(x):
+                return True
+        return False
+
+    return some
+
+
+def _reach(at: CatalogPath) -> Callable[[object], object]:
+    """The values at a path, in any order; a node may come again behind a second descent."""
+    if len(at.steps) == 1 and isinstance(at.steps[0], Field):
+        name = at.steps[0].name
+        return lambda v: (v[name],) if isinstance(v, dict) and name in v else ()
+
+    def reach(value):
+        now = [value]
+        for step in at.steps:
+            if isinstance(step, Field):
+                now = [v[step.name] for v in now if isinstance(v, dict) and step.name in v]
+            elif isinstance(step, AnyElement):
+                now = [x for v in now if isinstance(v, list) for x in v]
+            else:
+                for v in now:  # it grows meanwhile
+                    if isinstance(v, dict):
+                        now += v.values()
+                    elif isinstance(v, list):
+                        now += v
+        return now
+
+    return reach
+
+
 def _passes(v: object, op: str, w: Literal) -> bool:
     if w is None:
         return op == "=" and v is None

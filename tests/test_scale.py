@@ -59,3 +59,29 @@ def test_tally_counts_what_the_walk_reports(spark):
                 kind, x, size = B.scalar(raw, 0)
                 got.update({(p, kind, repr(x)): n, (p, kind): n * size})
         assert +got == +want, (depth, children)
+
+
+def test_descendant_predicates_send_back_answers_only(spark):
+    docs = V.configure(spark).createDataFrame([(1, '{"a":{"@type":"Leaf","name":"x","n":[1.50,null]}}'), (2, '{"b":[{"@type":"Leaf","name":"y"}],"name":"x"}'), (3, "[]"), (4, None)], "key int, t string")
+    docs = docs.select("key", V.fast_json(F.col("t")).alias("doc"))
+    cases = {
+        path("$..").elem_match(path("$..n[*]").gt(1)): [1], path("$..").elem_match(path("$..name").eq("y") | path("$.none").exists()): [2],
+        path("$..").elem_match(path('$["@type"]').eq("Leaf") & path("$.name").eq("x")): [1], path("$..name").eq("x"): [1, 2], ~path("$..name").exists(): [3, 4],
+        path("$..n[*]").one_of(1.5, 7): [1], path("$..n[*]").is_null(): [1], path("$.b[*]").elem_match(path("$..name").eq("y")): [2],
+    }
+    for predicate, want in cases.items():
+        found = Query.where(predicate).on(docs, ordered=False)
+        assert sorted(r.key for r in found.collect()) == want, predicate
+        assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString(), predicate
+
+
+def test_wildcards_stay_in_the_jvm(spark):
+    from looseleaf.functions.jsonpath import JsonPath
+
+    texts = ['{"a":[1,{"b":2,"a":[3]},"x",[]],"é":{"z":1,"a":null},"\U0001f600":1,"￿":2}', "[]", "7", '{"a":{"a":[true]}}']
+    docs = V.configure(spark).createDataFrame([(t,) for t in texts] + [(None,)], "t string").select(V.fast_json(F.col("t")).alias("doc"))
+    for text in ("$.*", "$[*]", "$.a[*]", "$.*.*", "$.a.*.a[0]"):
+        p = JsonPath.compile(text)
+        assert p.native, text
+        a, b = docs.select(F.transform(p.column("doc"), lambda v: F.to_json(v))), docs.select(F.transform(p.nodes_column("doc"), lambda n: n["value"]))
+        assert [r[0] or [] for r in a.collect()] == [r[0] or [] for r in b.collect()], text
