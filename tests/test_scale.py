@@ -85,3 +85,22 @@ def test_wildcards_stay_in_the_jvm(spark):
         assert p.native, text
         a, b = docs.select(F.transform(p.column("doc"), lambda v: F.to_json(v))), docs.select(F.transform(p.nodes_column("doc"), lambda n: n["value"]))
         assert [r[0] or [] for r in a.collect()] == [r[0] or [] for r in b.collect()], text
+
+
+def test_length_query_answers_with_texts_only(spark, tmp_path):
+    """An order of 15 lines: `length` of its array is 15 as well, which the query's SQL doesn't ask for."""
+    import duckdb
+
+    for name, keep in (("orders", "o_orderkey < 8"), ("lineitem", "l_orderkey < 7")):
+        df = spark.read.parquet(f"{SF}/{name}.parquet").filter(keep)
+        if name == "lineitem":
+            fifteen = df.limit(1).withColumn("l_orderkey", F.lit(7).cast("long")).withColumn("l_linenumber", F.explode(F.sequence(F.lit(1), F.lit(15))))
+            df = df.unionByName(fifteen)
+        else:
+            df = df.withColumn("o_orderpriority", F.when(F.col("o_orderkey") == 7, "4-NOT SPECIFIED").otherwise(F.col("o_orderpriority")))
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = sorted(tuple(r) for r in engine.QUERIES["r11_length"](spark, str(tmp_path)).select("key", "pos", "value").collect())
+    duck = duckdb.connect()
+    for name in ("orders", "lineitem"):
+        duck.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    assert got == sorted(duck.sql(f"select key, pos, value from ({engine.SQL['r11_length']})").fetchall()) and ("0000000007", 0, "4-NOT SPECIFIED") in got
