@@ -56,6 +56,11 @@ def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` worked out once, inside other lambdas as well, where nothing else keeps it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def child(v: Column, spark_path: str) -> Column:
     return F.try_variant_get(v, spark_path, "variant")
 
@@ -258,7 +263,10 @@ def signature(v: Column) -> Column:
 
     Tags: 0 boolean, 1 number, 2 text, 3 binary, 4 temporal, 5 UUID.
     """
-    t = type_text(v)
+    return let(v, lambda x: let(type_text(x), lambda t: _signature(x, t)))
+
+
+def _signature(v: Column, t: Column) -> Column:
     text = F.try_variant_get(v, "$", "string")
     trimmed = F.when(text.contains("."), F.regexp_replace(text, r"\.?0*$", "")).otherwise(text)
     d = F.try_variant_get(v, "$", "double")

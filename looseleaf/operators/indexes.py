@@ -68,20 +68,18 @@ def side_table(rows: DataFrame, d: Definition) -> DataFrame:
     path = CatalogPath.parse(d.path)
     if d.kind == "composite":
         def tuple_of(e: Column) -> Column:
-            parts = [V.signature(F.try_variant_get(e, _spark(f), "variant")) for f in d.fields]
-            whole = F.concat_ws("\x1f", *[F.concat_ws("\x1e", p["tag"].cast("string"), p["text"]) for p in parts])
-            present = parts[0].isNotNull()
-            for p in parts[1:]:
-                present = present & p.isNotNull()
-            return F.when(present, F.struct(F.lit(9).alias("tag"), whole.alias("text")))
+            return V.let(F.array(*[V.signature(F.try_variant_get(e, _spark(f), "variant")) for f in d.fields]), whole)
+
+        def whole(parts: Column) -> Column:
+            spelled = F.transform(parts, lambda p: F.concat_ws("\x1e", p["tag"].cast("string"), p["text"]))
+            return F.when(~F.exists(parts, lambda p: p.isNull()), F.struct(F.lit(9).alias("tag"), F.concat_ws("\x1f", spelled).alias("text")))
 
         found = F.filter(F.transform(nodes(F.col("doc"), path), tuple_of), lambda t: t.isNotNull())
         return rows.select("key", "seq", F.explode(F.array_distinct(found)).alias("t")).select("key", "seq", F.col("t.tag").alias("tag"), F.col("t.text").alias("term"))
     if d.kind == "inverted":
         def term(v: Column) -> Column:
-            s = V.signature(v)
-            short = F.octet_length(s["text"]) <= MAX_TERM_BYTES
-            return F.when(short, F.struct(s["tag"].alias("tag"), s["text"].alias("text"))).otherwise(F.struct(F.lit(-1).alias("tag"), F.lit("").alias("text")))
+            none = F.struct(F.lit(-1).alias("tag"), F.lit("").alias("text"))
+            return V.let(V.signature(v), lambda s: F.when(F.octet_length(s["text"]) <= MAX_TERM_BYTES, s).otherwise(none))
 
         scalars = F.filter(nodes(F.col("doc"), path), V.is_scalar)
         return rows.select("key", "seq", F.explode(F.array_distinct(F.transform(scalars, term))).alias("t")).select("key", "seq", F.col("t.tag").alias("tag"), F.col("t.text").alias("term"))

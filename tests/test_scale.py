@@ -104,3 +104,15 @@ def test_length_query_answers_with_texts_only(spark, tmp_path):
     for name in ("orders", "lineitem"):
         duck.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
     assert got == sorted(duck.sql(f"select key, pos, value from ({engine.SQL['r11_length']})").fetchall()) and ("0000000007", 0, "4-NOT SPECIFIED") in got
+
+
+def test_index_terms_take_a_value_once(spark):
+    from looseleaf.operators import indexes
+
+    text = '{"i":[{"a":1.50,"b":"x"},{"a":1.5,"b":"x"},{"a":null,"b":"x"},{"b":"x"},{"a":2,"b":"%s"}],"t":["%s","u",null,3]}' % ("y" * 600, "z" * 600)
+    rows = V.configure(spark).createDataFrame([(b"k", 1, text)], "key binary, seq long, t string").select("key", "seq", V.fast_json(F.col("t")).alias("doc"))
+    pairs = indexes.side_table(rows, indexes.composite("$.i[*]", "$.a", "$.b"))
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("schemaOfVariant") <= 2
+    assert sorted((r.tag, r.term) for r in pairs.collect()) == [(9, "1\x1e1.5\x1f2\x1ex"), (9, "1\x1e2\x1f2\x1e" + "y" * 600)]
+    terms = indexes.side_table(rows, indexes.inverted("$.t[*]"))
+    assert sorted((r.tag, r.term) for r in terms.collect()) == [(-1, ""), (1, "3"), (2, "u")]
